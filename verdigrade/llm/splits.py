@@ -115,7 +115,7 @@ def _greedy(sizes: np.ndarray, hist: np.ndarray, goal: np.ndarray, filled: np.nd
 
 
 def assign_splits(
-    records: DataFrame, record_id: str, entities: dict[str, Column], stratum: Column, shares: dict[str, float], groups_per_task: int = 20_000, big_one_in: int = 2000,
+    records: DataFrame, record_id: str, entities: dict[str, Column], stratum: Column, shares: dict[str, float], groups_per_task: int = 20_000, big_one_in: int = 2000, most_strata: int = 256,
 ) -> DataFrame:
     """(record, grp, split): every record given to a split; a group is never torn.
 
@@ -124,6 +124,7 @@ def assign_splits(
     each of which aims at its part of what the big ones leave open. All are placed largest first where the
     label distributions of the splits come closest to the goal. Shares are of the distinct record ids.
 
+    Strata beyond the most_strata largest are balanced as one together.
     Defined results: a record whose copies differ in stratum counts under the least; null strata are a stratum;
     a group larger than every goal goes where it exceeds least; an empty table gives no row.
     """
@@ -133,7 +134,7 @@ def assign_splits(
     strata = records.select(F.col(record_id).alias("record"), F.coalesce(stratum.cast("string"), F.lit("\u0001")).alias("stratum")).groupBy("record").agg(F.min("stratum").alias("stratum"))
     cells = groups.join(strata, "record").groupBy("grp", "stratum").agg(F.count(F.lit(1)).alias("n"))
     by_group = materialize(cells.groupBy("grp").agg(F.sum("n").alias("size"), F.map_from_entries(F.collect_list(F.struct("stratum", "n"))).alias("hist")), "group-strata")
-    totals = {r["stratum"]: r["n"] for r in by_group.select(F.explode("hist").alias("stratum", "n")).groupBy("stratum").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "stratum").limit(256).collect()}
+    totals = {r["stratum"]: r["n"] for r in by_group.select(F.explode("hist").alias("stratum", "n")).groupBy("stratum").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "stratum").limit(most_strata).collect()}
     count, all_records = by_group.agg(F.count(F.lit(1)), F.sum("size")).first()
     if not count:
         return groups.select("record", "grp", F.lit(None).cast("string").alias("split"))
