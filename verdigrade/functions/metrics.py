@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from verdigrade.functions.text import normalized, strip
 
@@ -23,6 +24,10 @@ WORD = re.compile(r"\w+")
 NUMBER = r"([-+]?\d*\.?\d+)"
 
 
+def _longs(*names: str) -> T.StructType:
+    return T.StructType([T.StructField(n, T.LongType()) for n in names])
+
+
 def _one(flag: Column) -> Column:
     return flag.cast("double")
 
@@ -37,7 +42,7 @@ def exact_match(output: Column, ref: Column) -> Column:
     return _one(normalized(output) == normalized(ref))
 
 
-@F.pandas_udf("struct<overlap:long,n_output:long,n_reference:long>")
+@F.pandas_udf(_longs("overlap", "n_output", "n_reference"))
 def _shared_words(output: pd.Series, ref: pd.Series) -> pd.DataFrame:
     rows = []
     for o, r in zip(output, ref):
@@ -61,7 +66,7 @@ def squad_f1(output: Column, ref: Column) -> Column:
 def levenshtein_similarity(output: Column, ref: Column) -> Column:
     """One less the edit distance as a share of the longer text; two empty texts are alike."""
     longest = F.greatest(F.length(output), F.length(ref))
-    return F.when(longest == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(output, ref) / longest)
+    return F.when(output.isNull() | ref.isNull(), None).when(longest == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(output, ref) / longest)
 
 
 def assertions(output: Column, must: Column, must_not: Column) -> Column:
@@ -118,7 +123,7 @@ def _fits(value: object, schema: Mapping) -> bool:
     return True
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def json_schema_validity(output: pd.Series, schema: pd.Series) -> pd.Series:
     """1 if the output is JSON that fits its JSON Schema (types, required, properties, enum, bounds); no schema: JSON at all."""
 
@@ -146,7 +151,7 @@ def leaves(value: object) -> dict[str, object]:
     return out
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def json_field_f1(output: pd.Series, expected: pd.Series) -> pd.Series:
     """F1 of the leaf fields; null without expectation, 0 for an output that is no JSON. An expected null holds if the field is absent."""
 
@@ -252,7 +257,7 @@ def lcs_length(a: Sequence[str], b: Sequence[str]) -> int:
     return len(a) - row.bit_count()
 
 
-@F.pandas_udf("struct<rouge_1:double,rouge_2:double,rouge_l:double>")
+@F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in ("rouge_1", "rouge_2", "rouge_l")]))
 def rouge(output: pd.Series, ref: pd.Series) -> pd.DataFrame:
     """F1 of words, word pairs and the longest common subsequence; null if a text is missing."""
     rows = []
@@ -270,7 +275,7 @@ def rouge(output: pd.Series, ref: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["rouge_1", "rouge_2", "rouge_l"])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chrf_pp(output: pd.Series, ref: pd.Series) -> pd.Series:
     """chrF++ : F2 of character n-grams 1..6 without white space and word n-grams 1..2, averaged over the orders both sides have."""
 
@@ -292,10 +297,10 @@ def chrf_pp(output: pd.Series, ref: pd.Series) -> pd.Series:
     return pd.Series([one(o, r) for o, r in zip(output, ref)], dtype=object)
 
 
-BLEU_STATS = "struct<" + ",".join([*(f"hit_{n}:long" for n in range(1, 5)), *(f"all_{n}:long" for n in range(1, 5)), "n_output:long", "n_reference:long"]) + ">"
+BLEU_STATS = (*(f"hit_{n}" for n in range(1, 5)), *(f"all_{n}" for n in range(1, 5)), "n_output", "n_reference")
 
 
-@F.pandas_udf(BLEU_STATS)
+@F.pandas_udf(_longs(*BLEU_STATS))
 def bleu_stats(output: pd.Series, ref: pd.Series) -> pd.DataFrame:
     """The ten sums of which corpus BLEU is made; they add up over rows, so a corpus needs one aggregation."""
     rows = []
@@ -307,7 +312,7 @@ def bleu_stats(output: pd.Series, ref: pd.Series) -> pd.DataFrame:
             hits.append((x & y).total())
             total.append(x.total())
         rows.append((*hits, *total, len(a), len(b)))
-    return pd.DataFrame(rows, columns=[*(f"hit_{n}" for n in range(1, 5)), *(f"all_{n}" for n in range(1, 5)), "n_output", "n_reference"])
+    return pd.DataFrame(rows, columns=list(BLEU_STATS))
 
 
 def bleu_of(sums: Mapping[str, Column], smooth: bool = False) -> Column:
@@ -337,7 +342,7 @@ def _stem(w: str) -> str:
     return w
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def meteor(output: pd.Series, ref: pd.Series) -> pd.Series:
     """METEOR with exact and stem matches and no synonyms: weighted F times a penalty for broken order."""
 
@@ -434,7 +439,7 @@ for _m in (
     Metric("retrieval_map", lambda o, q: average_precision(ranking(o), q), ("output", "qrels"), 0.0, _EVERY, "retrieval"),
     Metric("rouge_l", lambda o, r: rouge(o, r)["rouge_l"], family="overlap"),
     Metric("chrf_pp", chrf_pp, family="overlap"),
-    Metric("sacrebleu", lambda o, r: (lambda s: bleu_of({k: s[k] for k in [*(f"hit_{n}" for n in range(1, 5)), *(f"all_{n}" for n in range(1, 5)), "n_output", "n_reference"]}, smooth=True))(bleu_stats(o, r)), family="overlap"),
+    Metric("sacrebleu", lambda o, r: (lambda s: bleu_of({k: s[k] for k in BLEU_STATS}, smooth=True))(bleu_stats(o, r)), family="overlap"),
     Metric("meteor", meteor, family="overlap"),
 ):
     REGISTRY.register(_m)

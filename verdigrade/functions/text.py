@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Forms of credentials; the first group stays.
 SECRETS = (
@@ -19,13 +20,13 @@ ABBREVIATIONS = ("e.g.", "i.e.", "vs.", "etc.", "Dr.", "Mr.", "Ms.", "Fig.", "No
 ARTICLES = ("a", "an", "the")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Unicode compatibility normalisation; null stays null."""
     return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def casefold(text: pd.Series) -> pd.Series:
     """Full case folding; differs from lower() for letters such as ß."""
     return text.map(lambda t: None if t is None else t.casefold())
@@ -76,7 +77,7 @@ def normalized(c: Column, lowercase: bool = True, punctuation: bool = True, arti
 def rounded_numbers(tolerance: float):
     """A UDF that writes each number as its nearest multiple of tolerance (0: as it is)."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def each(text: pd.Series) -> pd.Series:
         def one(m) -> str:
             x = float(m.group())
