@@ -100,22 +100,26 @@ def item_seeds(items: DataFrame, docs: DataFrame, n: int, min_run: int, item_id:
     """(item_id, pos, h) of the seeds, and the corpus frequencies (h, df) of all grams of the items.
 
     The seeds of an item are, of every min_run - n + 1 consecutive n-grams, the one that the corpus and the
-    other items have least often. Any run of min_run words of the item therefore holds at least one seed:
-    a common phrase is never the only way to a document, and no seed has to be dropped for being common.
+    other items have least often, among those that the corpus has at all. Any run of min_run words that a
+    document shares with the item therefore holds at least one seed: a common phrase is never the only way to
+    a document, and no seed has to be dropped for being common.
     """
     grams = materialize(_item_grams(items, n, item_id, item_text), "item-grams")
     wanted = grams.groupBy("h").agg(F.count(F.lit(1)).alias("in_items"))
     seen = _corpus_grams(docs, grams, n, doc_text)
-    freq = wanted.join(seen, "h", "left").select("h", (F.coalesce("df", F.lit(0)) + F.col("in_items")).alias("df"))
+    freq = wanted.join(seen, "h", "left").select("h", F.when(F.col("df") > 0, F.col("df") + F.col("in_items")).otherwise(F.lit(ABSENT)).alias("df"))
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
-        return pdf.iloc[rarest_in_windows(pdf["df"].to_numpy(), min_run - n + 1)][["item_id", "pos", "h"]]
+        at = rarest_in_windows(pdf["df"].to_numpy(), min_run - n + 1)
+        return pdf.iloc[at[pdf["df"].to_numpy()[at] < ABSENT]][["item_id", "pos", "h"]]
 
     seeds = grams.join(freq, "h").groupBy("item_id").applyInPandas(pick, "item_id bigint, pos int, h bigint")
     return materialize(seeds, "seeds"), freq
 
 
+#: Frequency of a gram that the corpus doesn't have.
+ABSENT = 1 << 62
 #: Below so many bytes of item hashes (measured, eight a gram) they are sent to every task that reads the corpus.
 SENT_BYTES = 64 << 20
 

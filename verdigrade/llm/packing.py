@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 from bisect import bisect_right, insort
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 import pyarrow as pa
@@ -90,47 +91,38 @@ class _Queue:
 def fill(items: list[tuple[int, str, object]], capacity: int, shares: dict[str, float], deficits: dict[str, float]) -> list[tuple[object, int]]:
     """(item, container number) of items (size, source, item), each of at most capacity.
 
-    Deficit round-robin: the sources take turns; at its turn a source is credited its share of a capacity
-    and places its largest waiting item that fits, as long as its credit covers it. Space that no credited
-    item fits goes to the largest item that fits of the source in the greatest credit, which may thereby fall
-    into debt. What is owed stays owed in the next container; a source without items leaves its turn.
+    Deficit round-robin: with each container every source that has items is credited its share of a capacity.
+    The turn is always the source's that is owed most; it places its largest waiting item that fits, which
+    may leave it in debt. A source without a fitting item waits for the next container, and a container is
+    closed when no source has one. What is owed stays owed; large items come first, small ones fill the rest.
     """
     queues: dict[str, _Queue] = {}
     for size, source, item in sorted(items, key=lambda x: (x[0], x[1], str(x[2]))):
         queues.setdefault(source, _Queue()).push(size, item)
     owed = {s: float(deficits.get(s, 0.0)) for s in queues}
-    turn, placed, number, space, started = sorted(queues), [], 0, capacity, False
-    weight = {s: shares.get(s, 0.0) or 1e-9 for s in turn}
+    weight = {s: shares.get(s, 0.0) or 1e-9 for s in queues}
+    total, placed, number = sum(weight.values()), [], 0
     while queues:
-        total = sum(weight[s] for s in queues)
-        progress = False
-        for s in turn:
-            if s not in queues:
+        for s in queues:
+            owed[s] += capacity * weight[s] / total
+        turns = [(-owed[s], s) for s in queues]
+        heapify(turns)
+        space = capacity
+        while turns:
+            _, s = heappop(turns)
+            size = queues[s].largest(space)
+            if size < 0:
                 continue
-            owed[s] = min(owed[s] + capacity * weight[s] / total, 4.0 * capacity)
-            while (size := queues[s].largest(min(space, owed[s]))) >= 0:
-                placed.append((queues[s].pop(size), number))
-                owed[s] -= size
-                space -= size
-                progress = started = True
-                if not queues[s].sizes:
-                    del queues[s]
-                    break
-        if progress and space:
-            continue
-        while space:
-            fits = [(owed[s], size, s) for s in queues if (size := queues[s].largest(space)) >= 0]
-            if not fits:
-                break
-            _, size, s = max(fits)
             placed.append((queues[s].pop(size), number))
             owed[s] -= size
             space -= size
-            started = True
-            if not queues[s].sizes:
+            if queues[s].sizes:
+                heappush(turns, (-owed[s], s))
+            else:
                 del queues[s]
-        if started:
-            number, space, started = number + 1, capacity, False
+                total -= weight[s]
+        number += 1
+        total = max(total, 1e-12)
     return placed
 
 
