@@ -32,7 +32,7 @@ def swap_consistency(items: DataFrame, key: str) -> DataFrame:
 
 def require_total(joined: DataFrame, column: str, what: str) -> DataFrame:
     """The rows, or an error naming what is missing once a row without `column` is met."""
-    return joined.withColumn(column, F.when(F.col(column).isNull(), F.raise_error(F.lit(f"{what} is missing"))).otherwise(F.col(column)))
+    return joined.where(F.when(F.col(column).isNull(), F.raise_error(F.lit(f"{what} is missing")).cast("boolean")).otherwise(F.lit(True)))
 
 
 def one_to_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
