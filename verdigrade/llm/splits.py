@@ -27,9 +27,10 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60
     """(node, label): the label of a node is the same for all nodes that edges connect, directly or through others.
 
     Minimum-label propagation on a graph that shrinks: in each round every node takes the least label among
-    itself and its neighbours, in an order that is drawn anew each round by a hash, and then each edge is
-    replaced by that of its ends' labels; loops and repetitions vanish. A round leaves a fraction of the nodes
-    whatever the graph's diameter, so chains take a logarithm of their length. A node with very many
+    itself and its neighbours, and then each edge is replaced by that of its ends' labels; loops and
+    repetitions vanish. In even rounds nodes with more neighbours count as less, so that stars fold into
+    their centres at once; ties, and all of odd rounds, follow a hash drawn anew, which leaves a fraction of
+    the nodes whatever the graph, so that chains take a logarithm of their length. A node with very many
     neighbours is pre-aggregated to their least one and its edges are relabelled in salted tasks. Each round
     is written to the shared folder, so nothing before it is computed again.
 
@@ -41,10 +42,17 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60
     for number in range(max_rounds):
         if now.isEmpty():
             break
-        order = lambda c: F.struct(F.xxhash64(c, F.lit(number)).alias("h"), c.alias("v"))
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        near = both.groupBy("a").agg(F.min(order(F.col("b"))).alias("least"), F.count(F.lit(1)).alias("n"))
-        labels = materialize(near.select(F.col("a").alias("node"), F.least(F.col("least"), order(F.col("a")))["v"].alias("label"), "n"), "labels")
+        degree = both.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+        first = lambda n: -n if number % 2 == 0 else F.lit(0).cast("bigint")
+        ranked = degree.select(F.col("a").alias("b"), F.struct(first(F.col("n")).alias("n"), F.xxhash64("a", F.lit(number)).alias("h"), F.col("a").alias("v")).alias("rank"))
+        if number % 2 == 0:
+            sides = salted_join(both, ranked, "b", "inner", hot_keys(degree, "a").toDF("b"), [F.col("a")])
+        else:
+            sides = both.withColumn("rank", F.struct(F.lit(0).cast("bigint").alias("n"), F.xxhash64("b", F.lit(number)).alias("h"), F.col("b").alias("v")))
+        near = sides.groupBy("a").agg(F.min("rank").alias("least"), F.count(F.lit(1)).alias("n"))
+        own = F.struct(first(F.col("n")).alias("n"), F.xxhash64("a", F.lit(number)).alias("h"), F.col("a").alias("v"))
+        labels = materialize(near.select(F.col("a").alias("node"), F.least("least", own)["v"].alias("label"), "n"), "labels")
         maps.append(labels)
         hot = hot_keys(labels, "node").toDF("a")
         step = salted_join(now, labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "inner", hot, [F.col("b")])
@@ -54,10 +62,11 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60
         raise RuntimeError(f"labels still change after {max_rounds} rounds")
     if not maps:
         return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    out = maps[0].select("node", "label")
-    for later in maps[1:]:
-        counts = out.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-        joined = salted_join(out, later.select(F.col("node").alias("label"), F.col("label").alias("next")), "label", "left", hot_keys(counts, "label"), [F.col("node")])
+    # Each round's map is smaller than the one before by a factor, so the maps are put together from the last one.
+    out = maps[-1].select("node", "label")
+    for earlier in reversed(maps[:-1]):
+        counts = earlier.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+        joined = salted_join(earlier.select("node", "label"), out.toDF("label", "next"), "label", "left", hot_keys(counts, "label"), [F.col("node")])
         out = materialize(joined.select("node", F.coalesce("next", "label").alias("label")), "groups")
     return out
 
