@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,7 +36,24 @@ def build_session(app: str = "verdigrade", master: str | None = None, partitions
     } | conf
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the workers of a session once, so that it needn't be installed or on their path."""
+    context, root = spark.sparkContext, Path(__file__).resolve().parent
+    if getattr(context, "_verdigrade_shipped", False) or not root.is_dir():
+        return
+    folder = tempfile.mkdtemp(prefix="verdigrade-")
+    _OWN.append(folder)
+    archive = f"{folder}/verdigrade.zip"  # served from here by the driver to all executors
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for path in sorted(root.rglob("*.py")):
+            z.write(path, f"{root.name}/{path.relative_to(root)}")
+    context.addPyFile(archive)
+    context._verdigrade_shipped = True
 
 
 def shared_dir(spark: SparkSession) -> str:
