@@ -30,9 +30,8 @@ LABEL_SQL = f"""labels AS (SELECT label_id, rubric_name, rubric_version, {_K.for
 
 
 def _first(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """The earliest delivery of each key, without sorting: one struct a key is kept in each task."""
-    row = F.struct(*(c for c in columns if c != key))
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(row, "loaded_at").alias("r")).select(key, "r.*")
+    """The earliest delivery of each key. Columns are aggregated one by one, so those a query doesn't use are neither read nor shuffled."""
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(*(F.min_by(c, "loaded_at").alias(c) for c in columns if c != key))
 
 
 def gen(spark: SparkSession, d: str) -> DataFrame:
