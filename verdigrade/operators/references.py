@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from verdigrade.functions.keys import norm_key
 from verdigrade.operators.skew import hot_keys, salted_join
+from verdigrade.session import materialize
 
 
 @dataclass(frozen=True)
@@ -69,11 +70,8 @@ def orphan_references(children: dict[str, DataFrame], parents: dict[str, DataFra
     """
     refs = reference_rows(children, references)
     spans = parent_spans(parents, references)
-    keys = (
-        refs.groupBy("parent", "k")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("first"), F.max("t").alias("last"))
-        .withColumn("pk", F.struct("parent", "k"))
-    )
+    summed = refs.groupBy("parent", "k").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("first"), F.max("t").alias("last"))
+    keys = materialize(summed, "reference-keys").withColumn("pk", F.struct("parent", "k"))  # so the references are read twice only
     held = spans.select("parent", F.col("k").alias("held_k"), F.col("born").alias("b"), F.col("gone").alias("g")).withColumnRenamed("parent", "held_parent")
     suspects = keys.join(
         held,
