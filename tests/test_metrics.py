@@ -103,3 +103,9 @@ def test_text(spark):
     assert get(t.redact(F.lit("api_key=abc token: q, Authorization: Bearer zz")))[0] == "api_key=[REDACTED] token: [REDACTED], Authorization: [REDACTED]"
     assert get(t.without_fence(F.lit("```json\n{}\n```")))[0] == "{}"
     assert get(t.rendered("Q: {{ q }}{{ z }}", F.create_map(F.lit("q"), F.lit("why"))))[0] == "Q: why"
+
+
+def test_shown(spark):
+    df = spark.createDataFrame([({"q": "why"}, "a", None, None, None), ({"b": "1", "a": "2"}, "", None, None, ["x", "y"]), (None, None, "l", "{}", None)], "i map<string,string>, a string, l string, j string, r array<string>")
+    got = df.select(t.shown_inputs(F.col("i")), t.shown_reference(F.col("a"), F.col("l"), F.col("j"), F.col("r"))).collect()
+    assert [tuple(r) for r in got] == [("why", "a"), ('{"a":"2","b":"1"}', "x; y"), (None, "l")]

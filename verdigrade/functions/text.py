@@ -144,3 +144,15 @@ def rendered(template: str, inputs: Column) -> Column:
         parts += [F.lit(template[at : m.start()]), F.coalesce(F.element_at(inputs, F.lit(m.group(1))), F.lit(""))]
         at = m.end()
     return F.concat(*parts, F.lit(template[at:]))
+
+
+def shown_inputs(inputs: Column) -> Column:
+    """A case's inputs for a reader: a single value as it is, several as JSON with sorted keys."""
+    ordered = F.map_from_entries(F.array_sort(F.map_entries(inputs)))
+    return F.when(F.size(inputs) == 1, F.map_values(inputs)[0]).otherwise(F.to_json(ordered))
+
+
+def shown_reference(answer: Column, label: Column, as_json: Column, references: Column) -> Column:
+    """What a case expects, for a reader: the answer, else the label, the JSON or the references in a row."""
+    joined = F.nullif(F.array_join(F.coalesce(references, F.array().cast("array<string>")), "; "), F.lit(""))
+    return F.coalesce(F.nullif(answer, F.lit("")), label, as_json, joined)

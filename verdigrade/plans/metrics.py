@@ -378,7 +378,7 @@ SELECT n::BIGINT AS n, h / n AS accuracy, ba AS balanced_accuracy, mf AS macro_f
     "pairwise_swap_resolution": f"{_DUEL} SELECT * FROM res",
     "win_rates": f"{_DUEL}, s AS (SELECT model_a AS model, preference = 'A' AS won FROM res WHERE preference <> 'tie' UNION ALL SELECT model_b, preference = 'B' FROM res WHERE preference <> 'tie') SELECT model, count(*) FILTER (won) AS wins, count(*) AS decided, avg(won::INT) AS win_rate FROM s GROUP BY 1",
     "position_bias": f"{_DUEL} SELECT count(*) AS n_decided, avg((shown = 'A')::INT) AS first_share FROM duel WHERE shown <> 'tie'",
-    "swap_consistency": f"{_DUEL} SELECT count(*) AS n_pairs, 1.0 AS consistency FROM res",
+    "swap_consistency": f"{_DUEL} SELECT count(*) AS n_pairs, 1.0::DOUBLE AS consistency FROM res",
     "connected_components": f"{_DUEL}, e AS (SELECT model_a AS a, model_b AS b FROM res WHERE preference <> 'tie' UNION SELECT model_b, model_a FROM res WHERE preference <> 'tie'), h AS (WITH RECURSIVE w AS (SELECT DISTINCT judge_model AS x, judge_model AS y FROM judged UNION SELECT w.x, e.b FROM w JOIN e ON w.y = e.a) SELECT x, min(y) AS component FROM w GROUP BY 1) SELECT component, count(*) AS size FROM h GROUP BY 1",
     "nearest_neighbours": f"{_NEAR} SELECT query_id, vec_id, round(cosine, 9) AS cosine, place FROM k",
     "ndcg_at_10": f"{_NEAR}, i AS (SELECT query_id, (2 ** gain - 1) / log2(1 + row_number() OVER (PARTITION BY query_id ORDER BY gain DESC)) AS g, row_number() OVER (PARTITION BY query_id ORDER BY gain DESC) AS r FROM (SELECT query_id, 1 + vec_id % 3 AS gain FROM n WHERE ql = label)), b AS (SELECT query_id, sum(g) AS best FROM i WHERE r <= 10 GROUP BY 1) SELECT query_id, round(coalesce(sum((2 ** gain - 1) / log2(place + 1)) FILTER (hit AND place <= 10), 0) / max(best), 9) AS value FROM x JOIN b USING (query_id) GROUP BY 1",
@@ -395,7 +395,7 @@ SELECT n::BIGINT AS n, h / n AS accuracy, ba AS balanced_accuracy, mf AS macro_f
     "redact_secrets": f"{_C}, s AS (SELECT generation_id, {_RED} AS x FROM cand WHERE case_id IS NOT NULL) SELECT generation_id, CASE WHEN len(x) <= 240 THEN x ELSE x[1:239] || '…' END AS clean FROM s",
     "truncate_text": f"SELECT doc_id, len({_TRUNC})::INT AS n, ({_TRUNC})[1:40] AS head FROM documents",
     "outcome_classes": rf"{_G} SELECT CASE WHEN outcome = 'harness_timeout' THEN 'harness_timeout' WHEN outcome = 'harness_error' THEN 'harness_error' WHEN coalesce(regexp_replace(output, '^[\s\x0b\x1c-\x1f\x{{0085}}\p{{Z}}]+', ''), '') = '' THEN 'empty_output' WHEN outcome = 'truncated' THEN 'truncated' WHEN outcome = 'content_filtered' THEN 'content_filtered' WHEN regexp_matches(lower(trim(output)), '^(i can''t|i cannot)') THEN 'refused' ELSE 'passed' END AS class, count(*) AS n FROM gen GROUP BY 1",
-    "mock_provider": f"WITH {CASES_SQL} SELECT case_id, (len(inputs) + 1)::VARCHAR AS output, 5.0 AS total_ms, 12 AS prompt_tokens FROM cases",
+    "mock_provider": f"WITH {CASES_SQL} SELECT case_id, (len(inputs) + 1)::VARCHAR AS output, 5.0::DOUBLE AS total_ms, 12 AS prompt_tokens FROM cases",
 }
 NO_SQL = ("rouge_l", "chrf_pp", "meteor", "registry_scores")
 QUERIES = {name: globals()[name] for name in (*ORACLE, *NO_SQL)}
