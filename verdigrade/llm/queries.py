@@ -125,8 +125,8 @@ _WORDS = r"regexp_extract_all(lower(regexp_replace({}, '[''’‘`´]', '', 'g')
 ORACLE = {
     "p2_found": _LABELS + "SELECT DISTINCT label_id FROM m WHERE g IN (SELECT g FROM m WHERE split IN ('dev', 'holdout') GROUP BY g HAVING count(DISTINCT split) = 2)",
     "p4_ranks_within_bound": """WITH v AS (SELECT example_id, min({'t': task_type, 'v': latency_ms}) AS r FROM qa_baseline GROUP BY 1)
-SELECT r.t AS task_type, count(*) AS n, level, true AS within FROM v, (VALUES (0.5), (0.9), (0.95), (0.99)) q(level)
-WHERE r.v IS NOT NULL AND NOT isnan(r.v) AND r.v >= 0 GROUP BY r.t, level""",
+SELECT r.t AS task_type, count(*) AS n, q.level::DOUBLE AS level, true AS within FROM v, (VALUES (0.5), (0.9), (0.95), (0.99)) q(level)
+WHERE r.v IS NOT NULL AND NOT isnan(r.v) AND r.v >= 0 GROUP BY r.t, q.level""",
     "p7_found": f"WITH d AS (SELECT doc_id AS id, {_WORDS.format('text')} AS w FROM documents), i AS (SELECT item_id AS id, {_WORDS.format('item_text')} AS w FROM holdout_passages),\n"
     "dg AS (SELECT DISTINCT id, array_to_string(w[k:k+11], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 10)) AS k FROM d WHERE len(w) > 11)),\n"
     "ig AS (SELECT DISTINCT id, array_to_string(w[k:k+11], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 10)) AS k FROM i WHERE len(w) > 11))\n"
