@@ -144,6 +144,9 @@ def test_validation(spark, tmp_path):
     c = spark.createDataFrame([("a", "qa_short", "x", "y", 1.0, {"d": "1"}), ("b", "nope", "x" * 2001, None, 0.0, None), ("c", "rag", None, "y", 1.0, {})], "id string, task string, inputs string, ref string, weight double, slices map<string,string>")
     rules = validate.case_rules(F.col("inputs"), F.col("ref"), F.col("weight"), F.col("slices"), F.col("task"), ["d"])
     assert {tuple(r) for r in validate.breaches(c, "id", rules).collect()} == {("unknown_task", "b"), ("inputs_too_long", "b"), ("no_reference", "b"), ("weight_not_positive", "b"), ("undeclared_slices", "b"), ("no_inputs", "c"), ("undeclared_slices", "c")}
+    full = {k: "x" for k in validate.PROVENANCE}
+    v = spark.createDataFrame([("a", "qa_short", full), ("b", "rag", full | {"source_id": " "}), ("c", "retrieval", None)], "id string, task string, p map<string,string>")
+    assert {tuple(r) for r in validate.breaches(v, "id", validate.versioned_rules(F.col("p"), F.col("task"), ["exact_match"])).collect()} == {("no_provenance", "b"), ("no_provenance", "c"), ("no_fitting_metric", "c")}
     m = {"license": "CC-BY-4.0", "split": "holdout", "pii_scrubbed": True, "schema_version": "0.1", "tier": "smoke", "adapter": {"sample_size": 4}, "source": {"redistributable_smoke": True}, "pii_scrub_procedure": "", "content_sha256": "x"}
     assert len(validate.manifest_errors(m, 3, "y")) == 9
     assert validate.jailed(str(tmp_path), "a/b").name == "b"

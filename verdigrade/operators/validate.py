@@ -11,10 +11,26 @@ from pyspark.sql import functions as F
 
 from verdigrade.sources.schemas import TASK_TYPES
 
-# Licences under which text may be shipped, those that ask for attribution, and sizes of tiers.
-LICENSES = ("CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "MIT", "Apache-2.0", "BSD-3-Clause", "public-domain")
+# Licences under which text may be shipped, those that ask for attribution, sizes of tiers, what a case's
+# provenance must say, and the metrics that fit a task.
+LICENSES = ("CC0-1.0", "MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-4.0", "CC-BY-SA-4.0")
 NEED_ATTRIBUTION = ("CC-BY-4.0", "CC-BY-SA-4.0")
 TIERS = {"smoke": (5, 20), "ci": (50, 200), "nightly": (500, 2000), "release": (1, None)}
+PROVENANCE = ("source_id", "source_record_id", "source_revision", "adapter_name", "adapter_version")
+FITTING_METRICS = {
+    "qa_short": ("squad_f1", "exact_match", "numeric_assertion"),
+    "classification": ("classification",),
+    "extraction": ("json_validity", "json_field_f1"),
+    "summarization": ("rouge_l", "chrf_pp", "meteor"),
+    "retrieval": ("retrieval_ndcg_10", "retrieval_precision_at_k", "retrieval_mrr", "retrieval_map"),
+}
+
+
+def versioned_rules(provenance: Column, task: Column, metrics: Sequence[str]) -> dict[str, Column]:
+    """Rules of packs with a schema version: where each case comes from, and that one of the pack's metrics fits its task."""
+    told = F.array(*(F.coalesce(F.btrim(F.try_element_at(provenance, F.lit(k))), F.lit("")) for k in PROVENANCE))
+    unfit = [task for task, fitting in FITTING_METRICS.items() if not set(fitting) & set(metrics)]
+    return {"no_provenance": F.exists(told, lambda x: x == ""), "no_fitting_metric": task.isin(*unfit) if unfit else F.lit(False)}
 
 
 def breaches(cases: DataFrame, case_id: str, rules: dict[str, Column]) -> DataFrame:

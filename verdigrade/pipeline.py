@@ -37,6 +37,8 @@ def dataset_validate(spark: SparkSession, path: str, committed: bool = False, al
     errors = validate.manifest_errors(manifest, cases.count(), datasets.content_sha256(spark, f"{path}/cases.jsonl"), committed, allow_holdout)
     reference = F.coalesce("reference_answer", "expected_label", "expected_json", F.try_element_at("references", F.lit(1)))
     rules = validate.case_rules(F.to_json("inputs"), reference, F.col("weight"), F.col("slices"), F.col("task_type"), list(manifest["slices"]))
+    if "schema_version" in manifest:
+        rules |= validate.versioned_rules(F.col("provenance"), F.col("task_type"), list(manifest["task_metrics"]))
     found = validate.breaches(cases, "id", rules)
     ids = cases.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit("repeated_id").alias("rule"), F.col("id").alias("case_id"))
     return errors, found.unionByName(ids).unionByName(validate.repeated(cases, t.prompt_key(F.col("inputs")), "id", "repeated_prompt"))

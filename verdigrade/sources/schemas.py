@@ -36,5 +36,6 @@ EVIDENCE = _s("case_id:s answer_text:s claims:[s] context_ids:[s] context_texts:
 NLI = _s("case_id:s claim_index:i doc_id:s label:s")
 
 # The domains of enumerated columns.
-TASK_TYPES = ("qa_short", "summarization", "classification", "generation", "rag", "extraction", "safety", "retrieval", "tool_use", "multi_turn", "agentic")
-OUTCOMES = ("passed", "failed_score", "empty_output", "truncated", "refused", "content_filtered", "schema_invalid", "model_error", "harness_timeout", "harness_error", "skipped")
+TASK_TYPES = ("generation", "classification", "extraction", "summarization", "qa_short", "retrieval", "rag", "tool_use", "agent_trajectory", "safety", "pairwise")
+OUTCOMES = ("passed", "failed_score", "refused", "truncated", "schema_invalid", "empty_output", "content_filtered", "model_error", "harness_timeout", "harness_error", "skipped")
+FINISH_REASONS = ("stop", "length", "tool_calls", "content_filter", "error")
