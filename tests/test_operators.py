@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verdigrade.operators import artifacts, compare, graph, judging, plan, rag, rollup, sinks, skew, validate, vectors
-from verdigrade.session import materialize
+from verdigrade.session import clear, materialize
 
 
 def test_rollup_of_nothing_and_nulls(spark):
@@ -56,7 +56,11 @@ def test_writers(spark, tmp_path):
 
 def test_materialize(spark):
     df = spark.createDataFrame([(1, {"a": "b"}, [1.5])], "k int, m map<string,string>, v array<double>")
-    assert materialize(df).collect() == df.collect() and materialize(df.limit(0)).count() == 0
+    kept = materialize(df)
+    assert kept.collect() == df.collect() and materialize(df.limit(0)).count() == 0
+    clear(spark)
+    with pytest.raises(Exception):
+        kept.collect()
 
 
 def test_salted_join(spark):

@@ -12,7 +12,7 @@ from verdigrade.functions.text import prompt_key
 from verdigrade.operators import validate
 from verdigrade.plans import views as v
 from verdigrade.plans.views import CASES_SQL
-from verdigrade.session import shared_dir, table
+from verdigrade.session import own_folder, table
 from verdigrade.streaming import monitor
 
 
@@ -33,7 +33,7 @@ def duplicate_prompts(spark: SparkSession, d: str) -> DataFrame:
 
 def tumbling_event_counts(spark: SparkSession, d: str) -> DataFrame:
     """The stream is read to its end; of each window the last state counts."""
-    base = f"{shared_dir(spark)}/verdigrade/tumbling-{uuid.uuid4().hex}"
+    base = f"{own_folder(spark)}/tumbling-{uuid.uuid4().hex}"
     counts = monitor.tumbling_counts(monitor.event_stream(spark, d, "events.parquet"), "1 hour", None)
     monitor.update_into(counts, f"{base}/out", f"{base}/checkpoint")
     out = spark.read.option("basePath", f"{base}/out").parquet(f"{base}/out/batch=*")

@@ -73,6 +73,17 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+def own_folder(spark: SparkSession) -> str:
+    """This application's folder within the shared one."""
+    return f"{shared_dir(spark)}/verdigrade/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes what this application has materialized; results that still read it must be written before."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str = "step", partitions: int | None = None) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: a cut of lineage that outlives executors.
 
@@ -80,7 +91,7 @@ def materialize(df: DataFrame, name: str = "step", partitions: int | None = None
     unlike checkpoint() the files are columnar, so later steps read only the columns they use.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/verdigrade/{name}-{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     (df.coalesce(partitions) if partitions else df).write.parquet(path)
     return spark.read.schema(schema).parquet(path)
