@@ -16,6 +16,15 @@ def test_empty(answer):
     assert defect(answer) == "empty"
 
 
+@pytest.mark.parametrize("answer", ['<div class="answer" id="final" data-role="assistant"></div>', '<p class="answer text body main part wide">N/A</p>', "<div id='a' class=one data-a-role-of-the-main-part=x hidden>\n</div>"])
+def test_empty_wrapper_with_attributes(answer):
+    assert defect(answer) == "empty"
+
+
+def test_words_in_angle_brackets_are_an_answer():
+    assert not p.is_empty("<the answer is that nine heavy ladders were labelled>")
+
+
 @pytest.mark.parametrize("answer", ["No", "7", "42 credits", "Ja.", "答え", "👍", "Nothing was labelled.", '{"a": null}', "Label: trade"])
 def test_not_empty(answer):
     assert defect(answer) != "empty"

@@ -64,6 +64,8 @@ _GREEN = re.compile(r"[^\W_]+")
 _LETTERS_ONLY = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _INVISIBLE = re.compile("[\\s­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯⠀ㅤ︀-️﻿ﾠ\x00-\x1f\x7f-\x9f]+")
 _TAG = re.compile(r"</?[A-Za-z][\w:-]*(?:\s[^<>]*)?/?>")
+#: A tag with attributes only: words in angle brackets may be an answer.
+_ATTRIBUTES = re.compile(r"<[A-Za-z][\w:-]*(?:\s+(?:[\w:@.-]+\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'<>=]+)|hidden|disabled|checked|required|readonly|selected|open))*\s*/?>")
 _FENCE_LINE = re.compile(r"(?m)^[ \t]*(?:```+|~~~+)[ \t]*[\w+-]*[ \t]*$")
 _ANSWER_LABEL = re.compile(rf"^\W*{ANSWER_LABEL}\s*[:：=>-]+\s*", re.I)
 _QUESTION_LABEL = re.compile(rf"^\W*{QUESTION_LABEL}\s*[:：\-–>]+\s*", re.I)
@@ -73,7 +75,7 @@ def is_empty(text: str | None) -> bool:
     """No answer at all: nothing visible, or a stand-in, wrapper or label without content."""
     if text is None:
         return True
-    if _SIX_WORDS.search(text):
+    if _SIX_WORDS.search(_ATTRIBUTES.sub(" ", text) if "<" in text else text):
         return False
     rest = _INVISIBLE.sub(" ", text).strip()
     for _ in range(4):
@@ -88,7 +90,7 @@ def is_empty(text: str | None) -> bool:
     return len(rest) <= 60 and " ".join(re.sub(r"^[\W_]+|[\W_]+$", "", rest).casefold().split()) in STAND_INS
 
 
-#: No stand-in with its label and wrapper has six words in a row.
+#: No stand-in with its label has six words in a row once tags and their attributes are taken out.
 _SIX_WORDS = re.compile(r"(?:[^\W_]{2,}[^\w<>/`]+){5}[^\W_]{2,}")
 _CONTENT = frozenset("Lu Ll Lt Lm Lo Nd Nl No So Sc".split())
 
