@@ -55,6 +55,24 @@ def test_refusal(answer):
     assert defect(answer) == "refusal"
 
 
+REASON = " and because the records of the town name people who were never asked whether they want to be named" * 6
+
+
+@pytest.mark.parametrize("answer", [f"I'm sorry, but I can't help with that request{REASON}.", "I am sorry\nI cannot answer this question\nPlease ask something else", "I cannot answer the\nQuestion of what was labelled in the town of Torrow in May\nor of who had asked for it.", f"Unfortunately\nI must decline to answer{REASON}\nIs there anything else"])
+def test_long_refusal(answer):
+    assert defect(answer) == "refusal"
+
+
+@pytest.mark.parametrize("answer", [f"I cannot see one below 7068{REASON}; the lowest line is 7068 ledgers on Monday, and the foreman sold nine of them.", "I can't say more than the ledger\nThe heavy ladders of Torrow were labelled first in May\nThe ropes came later in June"])
+def test_long_text_that_answers(answer):
+    assert defect(answer) is None
+
+
+@pytest.mark.parametrize("n", [70, 400])
+def test_endless_copy(n):
+    assert defect(" ".join([Q] * n)) == "copy" and defect("\n".join([Q] * n)) == "copy"
+
+
 @pytest.mark.parametrize(
     "answer",
     [

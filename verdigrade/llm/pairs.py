@@ -127,7 +127,7 @@ def tiles(a: list[str], b: list[str], least: int) -> int:
 
 def is_copy(question: str | None, answer: str) -> bool:
     """The answer is the whole question again and nothing else: lead-in labels, quotes and repetition aside."""
-    if not question or len(answer) > 60 * len(question) + 200:
+    if not question:
         return False
     q, letters = _question_words(question) if len(question) <= 1000 else _words_of(question)
     if not q or len(answer) < letters and answer.isascii():
@@ -188,19 +188,27 @@ _AROUND = re.compile("|".join(rf"(?:(?<!\w){p}(?!\w))" for p in AROUND))
 _HINT = re.compile(
     r"\b(?:i|we|my|our|me|us|ich|wir|mir|je|j'|m'est|nous|puedo|podemos|debo|me|prefiero|posso|devo|no (?:answer|response|reply|information|comment|help|assistance)|guidelines|rules|polic(?:y|ies)|decline|dabei|dazu)\b", re.I
 )
-_CLAUSE_END = re.compile(r"[.!?;]+")
-#: A longer sentence says more than that it declines.
-SENTENCE_CHARS = 400
+_LINE_END = re.compile(r"\s*[\r\n]+\s*")
 
 
 def is_refusal(answer: str) -> bool:
     """It declines and says nothing else: courtesies, reasons and offers aside.
 
     What follows a clause that declines must not go on to answer ("I can't find a lower one, so 7 is least").
+    A line's end ends a clause unless the sentence runs on: a small letter follows, or a word precedes after which none ends.
     """
-    if not _HINT.search(answer) or any(len(x) > SENTENCE_CHARS for x in _CLAUSE_END.split(answer)):
+    if not _HINT.search(answer):
         return False
-    low = " ".join(_ANSWER_LABEL.sub("", answer, count=1).replace("’", "'").casefold().split())
+    body = _ANSWER_LABEL.sub("", answer, count=1).replace("’", "'").strip()
+    lines = _LINE_END.split(body)
+    parts = [lines[0]]
+    for before, line in zip(lines, lines[1:]):
+        words = before.rsplit(None, 1)
+        parts += [" " if line[:1].islower() or words and words[-1].casefold() in OPEN_WORDS else " ; ", line]
+    return _declines(" ".join("".join(parts).casefold().split()))
+
+
+def _declines(low: str) -> bool:
     found = _CORE.search(low)
     if not found:
         return False
