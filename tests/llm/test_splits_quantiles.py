@@ -95,3 +95,11 @@ def test_percentiles(spark):
             lo, hi = (sum(y < v for y in x) / len(x), sum(y <= v for y in x) / len(x))
             assert lo - qt.rank_error() <= q <= hi + qt.rank_error()
     assert qt.percentiles(qt.sketches(lat.limit(0), ["grp"]), ["grp"]).count() == 0
+
+
+def test_every_stratum_counts(spark):
+
+    df = spark.range(40).selectExpr("id as r", "cast(id % 20 as string) as stratum", "concat('e', id) as e")
+    with pytest.raises(ValueError):
+        sp.assign_splits(df, "r", {"e": F.col("e")}, F.col("stratum"), {"train": 0.5, "test": 0.5}, most_strata=19)
+    assert sp.assign_splits(df, "r", {"e": F.col("e")}, F.col("stratum"), {"train": 0.5, "test": 0.5}, most_strata=20).count() == 40

@@ -169,3 +169,9 @@ def test_event_windows(spark):
     # opens at call 2, rejects 3 and 4, trial 5 fails and opens again, rejects 6 and 7, trial 8 closes it
     assert got == {1: (12, 4, 2), 2: (1, 0, 0)}
     assert monitor.sessions(df, "15 seconds").where("user_id = 1").first().n == 12
+
+
+def test_slices_of_more_than_10000_dimensions(spark):
+    df = spark.range(10_050).select(F.lit("r").alias("run"), F.create_map(F.concat(F.lit("d"), F.col("id").cast("string")), F.lit("x")).alias("slices"))
+    got = rollup.by_slice(df, "slices", rollup.kept_dimensions(df), [F.count(F.lit(1)).alias("n")], ["run"])
+    assert got.count() == 10_051

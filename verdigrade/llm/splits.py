@@ -79,7 +79,7 @@ def related_groups(records: DataFrame, record_id: str, entities: dict[str, Colum
     """
     edges = materialize(entity_edges(records, record_id, entities), "record-entities")
     ends = edges.groupBy("record").agg(F.min("entity").alias("a"), F.sort_array(F.collect_set("entity")).alias("all"))
-    ties = ends.where(F.size("all") > 1).select("a", F.explode(F.slice("all", 2, 1_000_000)).alias("b"))
+    ties = ends.where(F.size("all") > 1).select("a", F.explode(F.slice("all", F.lit(2), F.size("all") - 1)).alias("b"))
     groups = connected(ties)
     sizes = ends.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
     placed = salted_join(ends.select("record", "a"), groups.select(F.col("node").alias("a"), "label"), "a", "left", hot_keys(sizes, "a"), [F.col("record")])
@@ -133,7 +133,7 @@ def assign_splits(
     each of which aims at its part of what the big ones leave open. All are placed largest first where the
     label distributions of the splits come closest to the goal. Shares are of the distinct record ids.
 
-    Strata beyond the most_strata largest are balanced as one together.
+    More than most_strata strata are an error: the driver holds a number for each.
     Defined results: a record whose copies differ in stratum counts under the least; null strata are a stratum;
     a group larger than every goal goes where it exceeds least; an empty table gives no row.
     """
@@ -143,7 +143,9 @@ def assign_splits(
     strata = records.select(F.col(record_id).alias("record"), F.coalesce(stratum.cast("string"), F.lit("\u0001")).alias("stratum")).groupBy("record").agg(F.min("stratum").alias("stratum"))
     cells = groups.join(strata, "record").groupBy("grp", "stratum").agg(F.count(F.lit(1)).alias("n"))
     by_group = materialize(cells.groupBy("grp").agg(F.sum("n").alias("size"), F.map_from_entries(F.collect_list(F.struct("stratum", "n"))).alias("hist")), "group-strata")
-    totals = {r["stratum"]: r["n"] for r in by_group.select(F.explode("hist").alias("stratum", "n")).groupBy("stratum").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "stratum").limit(most_strata).collect()}
+    totals = {r["stratum"]: r["n"] for r in by_group.select(F.explode("hist").alias("stratum", "n")).groupBy("stratum").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "stratum").limit(most_strata + 1).collect()}
+    if len(totals) > most_strata:
+        raise ValueError(f"more than {most_strata} strata; merge some or raise most_strata")
     count, all_records = by_group.agg(F.count(F.lit(1)), F.sum("size")).first()
     if not count:
         return groups.select("record", "grp", F.lit(None).cast("string").alias("split"))

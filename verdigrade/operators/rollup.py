@@ -33,7 +33,7 @@ def by_slice(rows: DataFrame, slices: str, dimensions: DataFrame, sums: Sequence
     first = rows.withColumn("_s", entries).groupBy(*keys, "_s").agg(*sums)
     names = [c for c in first.columns if c not in (*keys, "_s")]
     fanned = first.select(*keys, *names, F.explode(F.concat(F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit("").alias("value"))), F.transform("_s", lambda e: F.struct(e["key"].alias("key"), F.coalesce(e["value"], F.lit("")).alias("value"))))).alias("e"))
-    kept = F.broadcast(dimensions.select(F.col("dimension"), F.lit(True).alias("_kept")).limit(10_000))  # dimensions, not values
+    kept = dimensions.select(F.col("dimension"), F.lit(True).alias("_kept"))
     fanned = fanned.join(kept, F.col("e.key") == F.col("dimension"), "left").where(F.col("e.key").isNull() | F.col("_kept"))
     label = F.when(F.col("e.key").isNull(), F.lit(OVERALL)).otherwise(F.concat(F.col("e.key"), F.lit("="), F.col("e.value")))
     return fanned.withColumn("slice", label).groupBy(*keys, "slice").agg(*(F.sum(n).alias(n) for n in names))
