@@ -98,7 +98,6 @@ def test_percentiles(spark):
 
 
 def test_every_stratum_counts(spark):
-
     df = spark.range(40).selectExpr("id as r", "cast(id % 20 as string) as stratum", "concat('e', id) as e")
     with pytest.raises(ValueError):
         sp.assign_splits(df, "r", {"e": F.col("e")}, F.col("stratum"), {"train": 0.5, "test": 0.5}, most_strata=19)

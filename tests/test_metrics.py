@@ -109,3 +109,22 @@ def test_shown(spark):
     df = spark.createDataFrame([({"q": "why"}, "a", None, None, None), ({"b": "1", "a": "2"}, "", None, None, ["x", "y"]), (None, None, "l", "{}", None)], "i map<string,string>, a string, l string, j string, r array<string>")
     got = df.select(t.shown_inputs(F.col("i")), t.shown_reference(F.col("a"), F.col("l"), F.col("j"), F.col("r"))).collect()
     assert [tuple(r) for r in got] == [("why", "a"), ('{"a":"2","b":"1"}', "x; y"), (None, "l")]
+
+
+def test_levenshtein_of_raw_texts(spark, tmp_path, monkeypatch):
+    from verdigrade.plans import metrics as plans
+
+    texts = [("Ответ", "Пример"), ("é", "e"), ("答え", "答"), ("", ""), ("naïve café", "naive cafe"), (None, "x")]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(texts)], "example_id long, output string, reference string")
+    monkeypatch.setattr(plans, "_pairs", lambda s, d: df)
+
+    def brute(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return 1 - row[-1] / max(len(a), len(b)) if a or b else 1.0
+
+    got = {r.example_id: r.value for r in plans.QUERIES["normalized_levenshtein_raw"](spark, "").collect()}
+    assert got == {i: pytest.approx(brute(a, b)) if a is not None else None for i, (a, b) in enumerate(texts)}

@@ -31,6 +31,11 @@ def normalized_levenshtein(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).select("example_id", m.levenshtein_similarity(ascii_(F.col("output")), ascii_(F.col("reference"))).alias("value"))
 
 
+def normalized_levenshtein_raw(spark: SparkSession, d: str) -> DataFrame:
+    """The metric as defined, on raw texts. No SQL: DuckDB's distance counts bytes."""
+    return _pairs(spark, d).select("example_id", m.levenshtein_similarity(F.col("output"), F.col("reference")).alias("value"))
+
+
 def assertions(spark: SparkSession, d: str) -> DataFrame:
     must = F.when(F.col("reference").isNotNull(), F.array("reference"))
     return _pairs(spark, d).select("example_id", m.assertions(F.col("output"), must, F.array(F.lit("sorry"), F.lit("cannot"))).alias("value"))
@@ -397,5 +402,5 @@ SELECT n::BIGINT AS n, h / n AS accuracy, ba AS balanced_accuracy, mf AS macro_f
     "outcome_classes": rf"{_G} SELECT CASE WHEN outcome = 'harness_timeout' THEN 'harness_timeout' WHEN outcome = 'harness_error' THEN 'harness_error' WHEN coalesce(regexp_replace(output, '^[\s\x0b\x1c-\x1f\x{{0085}}\p{{Z}}]+', ''), '') = '' THEN 'empty_output' WHEN outcome = 'truncated' THEN 'truncated' WHEN outcome = 'content_filtered' THEN 'content_filtered' WHEN regexp_matches(lower(trim(output)), '^(i can''t|i cannot)') THEN 'refused' ELSE 'passed' END AS class, count(*) AS n FROM gen GROUP BY 1",
     "mock_provider": f"WITH {CASES_SQL} SELECT case_id, (len(inputs) + 1)::VARCHAR AS output, 5.0::DOUBLE AS total_ms, 12 AS prompt_tokens FROM cases",
 }
-NO_SQL = ("rouge_l", "chrf_pp", "meteor", "registry_scores")
+NO_SQL = ("normalized_levenshtein_raw", "rouge_l", "chrf_pp", "meteor", "registry_scores")
 QUERIES = {name: globals()[name] for name in (*ORACLE, *NO_SQL)}
