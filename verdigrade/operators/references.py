@@ -12,6 +12,10 @@ from verdigrade.functions.keys import norm_key
 from verdigrade.operators.skew import hot_keys, salted_join
 
 
+#: Why a reference does not hold; of several reasons at one time the first counts.
+REASONS = ("missing", "late", "deleted")
+
+
 @dataclass(frozen=True)
 class Reference:
     """A column of a child table that names records of a parent table."""
@@ -25,13 +29,21 @@ class Reference:
 
 
 def reference_rows(children: dict[str, DataFrame], references: Sequence[Reference]) -> DataFrame:
-    """(ref_table, parent, ref_id, k, t): every non-blank reference of every child table."""
+    """(ref_table, ref_key, parent, ref_id, row, k, t): every non-blank reference of every child table.
+
+    Ids keep their type; where the child tables' ids differ in type all are strings. row: numbers the rows
+    without an id, which are no copies of one another, as they are read; null for all others.
+    """
+    types = {children[r.child].schema[r.ref_id].dataType.simpleString() for r in references}
     out = None
     for r in references:
+        ref_id = F.col(r.ref_id)
         rows = children[r.child].select(
             F.lit(r.child).alias("ref_table"),
+            F.lit(r.ref_key).alias("ref_key"),
             F.lit(r.parent).alias("parent"),
-            F.col(r.ref_id).cast("bigint").alias("ref_id"),
+            (ref_id if len(types) == 1 else ref_id.cast("string")).alias("ref_id"),
+            F.when(ref_id.isNull(), F.monotonically_increasing_id()).alias("row"),
             norm_key(F.col(r.ref_key)).alias("k"),
             F.col(r.made_at).alias("t"),
         ).where(F.col("k").isNotNull())
@@ -53,19 +65,14 @@ def parent_spans(parents: dict[str, DataFrame], references: Sequence[Reference],
     return out.groupBy("parent", "k").agg(F.min("born").alias("born"), F.min("gone").alias("gone"))
 
 
-def orphan_references(children: dict[str, DataFrame], parents: dict[str, DataFrame], references: Sequence[Reference]) -> DataFrame:
-    """(ref_table, ref_id, k, t, reason): each reference that does not hold at its time t, once an id.
+_ID = ("ref_table", "ref_key", "ref_id", "row")
 
-    The distinct foreign keys, with their counts and earliest and latest times, go into a left anti-join
-    against the parent keys that exist over all of that time; what is left are the suspect keys, and only
-    they are joined back to the references, where each row's own time decides. A key under which a large
-    share of the references falls costs one row before the join back, and there its rows are salted.
 
-    reason: missing (no row has the key), late (the first row arrives after t) or deleted (at or before t).
-    Defined results: null and blank keys refer to nothing and never come out; a null t is an orphan only if
-    the key is missing; null arrival times are passed over, and a parent with only such times exists from
-    the start; copies of a reference come out once, and with differing copies it is an orphan if one is.
-    Empty tables give no rows, or every reference as missing; further columns of the tables are not read.
+def judged_references(children: dict[str, DataFrame], parents: dict[str, DataFrame], references: Sequence[Reference], keep_sound: bool) -> DataFrame:
+    """(ref_table, ref_key, ref_id, row, t, orphan): the references once an id; orphan is null where the reference holds.
+
+    t: the earliest time of the reference's copies; orphan: struct of the earliest copy that does not hold.
+    keep_sound: whether references come out that hold.
     """
     refs = reference_rows(children, references)
     spans = parent_spans(parents, references)
@@ -83,42 +90,52 @@ def orphan_references(children: dict[str, DataFrame], parents: dict[str, DataFra
         & (F.col("g").isNull() | (F.col("g") > F.col("last"))),
         "left_anti",
     )
-    suspects = suspects.join(spans.withColumn("found", F.lit(True)), ["parent", "k"], "left").select("pk", "found", "born", "gone")
-    rows = salted_join(refs.withColumn("pk", F.struct("parent", "k")), suspects, "pk", "inner", hot_keys(keys, "pk"), [F.col("ref_table"), F.col("ref_id")])
-    reason = (
+    suspects = suspects.join(spans.withColumn("found", F.lit(True)), ["parent", "k"], "left").select("pk", F.lit(True).alias("suspect"), "found", "born", "gone")
+    rows = salted_join(refs.withColumn("pk", F.struct("parent", "k")), suspects, "pk", "left" if keep_sound else "inner", hot_keys(keys, "pk"), [F.col(c) for c in _ID])
+    reason = F.when(
+        F.col("suspect"),
         F.when(F.col("found").isNull(), "missing")
         .when(F.col("born") > F.col("t"), "late")
-        .when(F.col("gone") <= F.col("t"), "deleted")
-    )
-    return (
-        rows.withColumn("reason", reason)
-        .where(F.col("reason").isNotNull())
-        .groupBy("ref_table", "ref_id")
-        .agg(F.min_by("k", F.col("t")).alias("k"), F.min("t").alias("t"), F.max("reason").alias("reason"))
+        .when(F.col("gone") <= F.col("t"), "deleted"),
     )
+    rank = F.array_position(F.array(*(F.lit(r) for r in REASONS)), F.col("reason"))
+    first = F.struct(F.col("t").isNull().alias("undated"), F.col("t").alias("t"), rank.alias("rank"), F.col("k").alias("k"), F.col("reason").alias("reason"))
+    return rows.withColumn("reason", reason).groupBy(*_ID).agg(F.min("t").alias("t"), F.min(F.when(F.col("reason").isNotNull(), first)).alias("orphan"))
+
+
+def orphan_references(children: dict[str, DataFrame], parents: dict[str, DataFrame], references: Sequence[Reference]) -> DataFrame:
+    """(ref_table, ref_key, ref_id, k, t, reason): each reference that does not hold at its time t, once an id.
+
+    The distinct foreign keys, with their counts and earliest and latest times, go into a left anti-join
+    against the parent keys that exist over all of that time; what is left are the suspect keys, and only
+    they are joined back to the references, where each row's own time decides. A key under which a large
+    share of the references falls costs one row before the join back, and there its rows are salted.
+
+    reason: missing (no row has the key), late (the first row arrives after t) or deleted (at or before t).
+    Defined results: null and blank keys refer to nothing and never come out; a null t is an orphan only if
+    the key is missing; null arrival times are passed over, and a parent with only such times exists from
+    the start. Copies of a reference come out once; with differing copies it is an orphan if one is, and
+    k, t and reason are those of one copy: the earliest orphan (a null t comes last), of equal times the
+    first in REASONS, then the least key. Rows without an id are each a reference of their own; ids may have
+    any type. Empty tables give no rows, or every reference as missing; further columns are not read.
+    """
+    rows = judged_references(children, parents, references, False)
+    return rows.where(F.col("orphan").isNotNull()).select("ref_table", "ref_key", "ref_id", "orphan.k", "orphan.t", "orphan.reason")
 
 
 def orphan_report(children: dict[str, DataFrame], parents: dict[str, DataFrame], references: Sequence[Reference], period: str = "yyyy-MM") -> DataFrame:
-    """(ref_table, period, n_references, n_orphans, n_missing, n_late, n_deleted), references counted once an id.
+    """(ref_table, ref_key, period, n_references, n_orphans, n_missing, n_late, n_deleted), references counted once an id.
 
-    period: a format of the reference's time; a null time falls into the period null.
+    One aggregate counts references and orphans. period: a format of the reference's earliest time; a null
+    time falls into the period null.
     """
-    refs = (
-        reference_rows(children, references)
-        .groupBy("ref_table", "ref_id")
-        .agg(F.min("t").alias("t"))
-        .groupBy("ref_table", F.date_format("t", period).alias("period"))
-        .agg(F.count(F.lit(1)).alias("n_references"))
-    )
-    orphans = (
-        orphan_references(children, parents, references)
-        .groupBy("ref_table", F.date_format("t", period).alias("period"))
+    reason = F.col("orphan.reason")
+    return (
+        judged_references(children, parents, references, True)
+        .groupBy("ref_table", "ref_key", F.date_format("t", period).alias("period"))
         .agg(
-            F.count(F.lit(1)).alias("n_orphans"),
-            *(F.count_if(F.col("reason") == r).alias(f"n_{r}") for r in ("missing", "late", "deleted")),
+            F.count(F.lit(1)).alias("n_references"),
+            F.count("orphan").alias("n_orphans"),
+            *(F.count_if(reason == r).alias(f"n_{r}") for r in REASONS),
         )
     )
-    o = orphans.select(F.col("ref_table").alias("o_table"), F.col("period").alias("o_period"), "n_orphans", "n_missing", "n_late", "n_deleted")
-    return refs.join(o, (F.col("ref_table") == F.col("o_table")) & F.col("period").eqNullSafe(F.col("o_period")), "left").select(
-        "ref_table", "period", "n_references", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_orphans", "n_missing", "n_late", "n_deleted"))
-    )

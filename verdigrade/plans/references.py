@@ -32,26 +32,25 @@ def p1_orphans_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"p1_found": p1_found, "p1_orphans_by_month": p1_orphans_by_month}
 
 _KEY = r"nullif(lower(trim({}, E' \t\n\r\x0b\x0c')), '')"
-_COMMON = (
-    "WITH refs AS ("
-    + " UNION ALL ".join(
-        f"SELECT '{r.child}' AS ref_table, '{r.parent}' AS parent, {r.ref_id} AS ref_id, {_KEY.format(r.ref_key)} AS k, {r.made_at} AS t FROM {r.child}" for r in REFERENCES
-    )
-    + "), spans AS ("
-    + " UNION ALL ".join(
-        f"SELECT '{p}' AS parent, {_KEY.format(k)} AS k, min(loaded_at) AS born, min(deleted_at) AS gone FROM {p} GROUP BY 1, 2"
-        for p, k in sorted({(r.parent, r.parent_key) for r in REFERENCES})
-    )
-    + """), judged AS (
-SELECT r.ref_table, r.ref_id, r.t, CASE WHEN s.k IS NULL THEN 'missing' WHEN s.born > r.t THEN 'late' WHEN s.gone <= r.t THEN 'deleted' END AS reason
-FROM refs r LEFT JOIN spans s ON r.parent = s.parent AND r.k = s.k WHERE r.k IS NOT NULL)"""
-)
+
+
+def _orphans_of(r: Reference) -> str:
+    """Every row of a child table with the reason why its reference does not hold, by subqueries on the parent."""
+    rows = f"(SELECT {_KEY.format(r.parent_key)} AS k, loaded_at, deleted_at FROM {r.parent})"
+    return f"""SELECT '{r.child}' AS ref_table, '{r.ref_key}' AS ref_key, c.ref_id, CASE WHEN c.ref_id IS NULL THEN c.pos END AS pos, c.k, c.t,
+ CASE WHEN p.k IS NULL THEN 1 WHEN p.born > c.t THEN 2 WHEN p.gone <= c.t THEN 3 END AS why
+FROM (SELECT {r.ref_id} AS ref_id, row_number() OVER () AS pos, {_KEY.format(r.ref_key)} AS k, {r.made_at} AS t FROM {r.child}) c
+LEFT JOIN (SELECT k, min(loaded_at) AS born, min(deleted_at) AS gone FROM {rows} WHERE k IS NOT NULL GROUP BY k) p ON p.k = c.k WHERE c.k IS NOT NULL"""
+
+
+_ROWS = "WITH refs AS (" + " UNION ALL ".join(map(_orphans_of, REFERENCES)) + ")"
 
 ORACLE = {
-    "p1_found": _COMMON + " SELECT DISTINCT ref_table, ref_id FROM judged WHERE reason IS NOT NULL",
-    "p1_orphans_by_month": _COMMON
-    + """, once AS (SELECT ref_table, ref_id, min(t) AS t, max(reason) AS reason FROM judged GROUP BY 1, 2)
-SELECT ref_table, strftime(t AT TIME ZONE 'UTC', '%Y-%m') AS period, count(*) AS n_references, count(reason) AS n_orphans,
- count(*) FILTER (reason = 'missing') AS n_missing, count(*) FILTER (reason = 'late') AS n_late, count(*) FILTER (reason = 'deleted') AS n_deleted
-FROM once GROUP BY 1, 2""",
+    "p1_found": _ROWS + " SELECT ref_table, ref_id FROM refs GROUP BY ref_table, ref_key, ref_id, pos HAVING count(why) > 0",
+    "p1_orphans_by_month": _ROWS
+    + """, ranked AS (SELECT *, min(t) OVER w AS since, row_number() OVER (PARTITION BY ref_table, ref_key, ref_id, pos ORDER BY why IS NULL, t NULLS LAST, why, k) AS place
+ FROM refs WINDOW w AS (PARTITION BY ref_table, ref_key, ref_id, pos))
+SELECT ref_table, ref_key, strftime(since AT TIME ZONE 'UTC', '%Y-%m') AS period, count(*) AS n_references, count(why) AS n_orphans,
+ count(*) FILTER (why = 1) AS n_missing, count(*) FILTER (why = 2) AS n_late, count(*) FILTER (why = 3) AS n_deleted
+FROM ranked WHERE place = 1 GROUP BY 1, 2, 3""",
 }
