@@ -47,16 +47,16 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60
         first = lambda n: -n if number % 2 == 0 else F.lit(0).cast("bigint")
         ranked = degree.select(F.col("a").alias("b"), F.struct(first(F.col("n")).alias("n"), F.xxhash64("a", F.lit(number)).alias("h"), F.col("a").alias("v")).alias("rank"))
         if number % 2 == 0:
-            sides = salted_join(both, ranked, "b", "inner", hot_keys(degree, "a").toDF("b"), [F.col("a")])
+            sides = salted_join(both, ranked, "b", "inner", hot_keys(degree, "a").withColumnRenamed("a", "b"), [F.col("a")])
         else:
             sides = both.withColumn("rank", F.struct(F.lit(0).cast("bigint").alias("n"), F.xxhash64("b", F.lit(number)).alias("h"), F.col("b").alias("v")))
         near = sides.groupBy("a").agg(F.min("rank").alias("least"), F.count(F.lit(1)).alias("n"))
         own = F.struct(first(F.col("n")).alias("n"), F.xxhash64("a", F.lit(number)).alias("h"), F.col("a").alias("v"))
         labels = materialize(near.select(F.col("a").alias("node"), F.least("least", own)["v"].alias("label"), "n"), "labels")
         maps.append(labels)
-        hot = hot_keys(labels, "node").toDF("a")
+        hot = hot_keys(labels, "node").withColumnRenamed("node", "a")
         step = salted_join(now, labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "inner", hot, [F.col("b")])
-        step = salted_join(step, labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "inner", hot.toDF("b"), [F.col("a")])
+        step = salted_join(step, labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "inner", hot.withColumnRenamed("a", "b"), [F.col("a")])
         now = materialize(step.where("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(), "edges")
     else:
         raise RuntimeError(f"labels still change after {max_rounds} rounds")
