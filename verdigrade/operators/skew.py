@@ -16,18 +16,18 @@ def parts(spark: SparkSession) -> int:
     return max(LEAST_PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def hot_keys(counts: DataFrame, key: str, n: str = "n", tasks: int | None = None) -> DataFrame:
-    """Of counts (one row a key), the keys holding at least 1/tasks of all rows, and _salts: over how many tasks such a key is spread.
+def hot_keys(counts: DataFrame, key: str, n: str = "n", one_in: int | None = None) -> DataFrame:
+    """Of counts (one row a key), the keys holding at least 1/one_in of all rows, and _salts: over how many tasks such a key is spread.
 
-    There are never more than `tasks` of them, and their salts together are at most twice as many.
+    There are never more than one_in of them, and their salts together are at most twice as many.
     Null keys and empty tables give no hot key.
     """
-    tasks = tasks or parts(counts.sparkSession)
+    one_in = one_in or parts(counts.sparkSession)
     total = counts.agg(F.sum(n).alias("_total"))
     return (
         counts.crossJoin(F.broadcast(total))  # one row
-        .where(F.col(key).isNotNull() & (F.col(n) * tasks >= F.col("_total")))
-        .select(key, F.greatest(F.lit(1), F.ceil(F.col(n) * tasks / F.col("_total"))).cast("int").alias("_salts"))
+        .where(F.col(key).isNotNull() & (F.col(n) * one_in >= F.col("_total")))
+        .select(key, F.greatest(F.lit(1), F.ceil(F.col(n) * one_in / F.col("_total"))).cast("int").alias("_salts"))
     )
 
 
