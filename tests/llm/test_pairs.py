@@ -122,9 +122,100 @@ def test_same_or_asked_language(question, answer):
     assert defect(answer, question) is None
 
 
-def test_tiles():
-    assert p.tiles("a b c d".split(), "x a b c y b c d".split(), 3) == 6
-    assert p.tiles(["a"] * 3, ["a"] * 9, 3) == 9 and p.tiles([], ["a"], 1) == 0
+def test_tileable():
+    assert p.tileable("a b c d".split(), "x a b c y b c d".split(), 3) == 6
+    assert p.tileable(["a"] * 3, ["a"] * 9, 3) == 9 and p.tileable([], ["a"], 1) == 0
+
+
+def test_tiling():
+    of_a, of_b = p.tiling("a b c d e f g".split(), "e f g x a b c d".split(), 3)
+    assert of_a.tolist() == [0, 0, 0, 0, 1, 1, 1] and of_b.tolist() == [1, 1, 1, -1, 0, 0, 0, 0]
+    of_a, of_b = p.tiling("a b c".split(), "a b c a b c".split(), 3)  # a word is in one tile at most
+    assert (of_a >= 0).sum() == 3 and (of_b >= 0).sum() == 3
+    for a, b in (([], ["x"]), (["x"], []), (["x"], ["y"])):
+        assert (p.tiling(a, b, 1)[1] >= 0).sum() == 0
+
+
+def brute_tiles(a, b, least):
+    """Greedy string tiling as published: the longest unmarked matches first, all positions tried."""
+    ma, mb, covered = [False] * len(a), [False] * len(b), 0
+    while True:
+        best, found = least, []
+        for i in range(len(a)):
+            for j in range(len(b)):
+                k = 0
+                while i + k < len(a) and j + k < len(b) and not ma[i + k] and not mb[j + k] and a[i + k] == b[j + k]:
+                    k += 1
+                if k > best:
+                    best, found = k, []
+                if k == best:
+                    found.append((j, i))
+        if not found:
+            return covered
+        for j, i in sorted(found):
+            if not any(ma[i : i + best]) and not any(mb[j : j + best]):
+                ma[i : i + best] = mb[j : j + best] = [True] * best
+                covered += best
+
+
+def test_tiling_equals_brute_force():
+    import random
+
+    draw = random.Random(3)
+    for _ in range(150):
+        a, b = ([draw.choice("abcde") for _ in range(draw.randint(0, 25))] for _ in range(2))
+        got = (p.tiling(a, b, 3)[1] >= 0).sum()
+        assert abs(got - brute_tiles(a, b, 3)) <= 4  # ties of equal length may be broken in another order
+        of_a, of_b = p.tiling(a, b, 3)
+        for t in range(of_a.max() + 1 if len(of_a) else 0):
+            assert [a[i] for i in (of_a == t).nonzero()[0]] == [b[j] for j in (of_b == t).nonzero()[0]]
+
+
+@pytest.mark.parametrize("answer", ["after a shortage of rope in May? Which goods from Torrow were labelled", f"Question: {Q} Question: {Q}", f"{Q} {Q} {Q} which goods from Torrow"])
+def test_copy_in_another_order(answer):
+    assert defect(answer) == "copy"
+
+
+def test_same_words_in_another_order_are_an_answer():
+    assert defect("B is greater than A.", "Is A greater than B?") is None
+
+
+def test_partial_copy():
+    half = "The goods, it was said, were labelled after a shortage of rope in May."
+    assert not p.is_copy(Q, half) and p.is_copy(Q, half, share=0.5)
+
+
+@pytest.mark.parametrize(
+    "answer",
+    [
+        "Use 2**3.", "the glob **/*.py", "A List<String> holds the names.", "a<b and c>d.", "It is a <b and c> d.", "sad :( but fine.", "[0, 1)", "The interval [0, 1) is half open.", "It lies in ]0, 1[ there.", "A char '(' opens.", 'The sign "(" opens.', "<b><i>x</b></i>",
+        "if (x[1) then done.", "x = a[0] * 2 ** 3.", "**Bold:** text here.", "A map<string, int> is used.", "5 < 6 and 7 > 6.", "It **is\n\nfine again.", "```python\nprint('(')\n```", "See `a**b` and `<div>`.",
+        "Call it so:\n\n```c\nif (a < b) { x[0] = \"(\";\n```\n\nThen `ls **/*.c | wc -l` counts a <T> list of vector<int> and 2**8 bytes :) in [0, n).",
+    ],
+)
+def test_code_in_an_answer_is_complete(answer):
+    assert defect(answer) is None
+
+
+@pytest.mark.parametrize("answer", ['{"a":{"b":["x"', "text <b>bold", "See <di", "He said “yes", "A call f(a, g(b), <b>c</b>", "One `code` and `more", "Fine.\n\nThe **last one is", "<table><tr><td>a</td></tr>", "| a | b |\n| --- | --- |\n| 1"])
+def test_open_structure(answer):
+    assert defect(answer) == "truncated"
+
+
+@pytest.mark.parametrize(
+    "answer",
+    [
+        "Niestety nie mogę pomóc w tej sprawie.", "Jag kan tyvärr inte hjälpa till med det.", "К сожалению, я не могу ответить на этот вопрос.", "申し訳ございませんが、お答えできません。", "Helaas kan ik daar niet bij helpen.", "Leider kann ich dabei nicht helfen.",
+        "Non posso rispondere a questa domanda.", "Não posso ajudar com isso.", "抱歉，我无法回答这个问题。", "Nie mogę odpowiedzieć, ponieważ " + "zasady tego domu są bardzo surowe i " * 12 + "tak już jest.",
+    ],
+)
+def test_refusal_in_other_languages(answer):
+    assert defect(answer) == "refusal"
+
+
+@pytest.mark.parametrize("answer", ["Wir konnten dem Händler nicht helfen, weil das Lager leer war.", "Nie mogę podać dnia, ale drabiny z Torrow oznaczono w maju.", "Я не могу дать точный день, но лестницы из Торроу пометили в мае."])
+def test_no_refusal_in_other_languages(answer):
+    assert defect(answer) != "refusal"
 
 
 def test_table(spark):

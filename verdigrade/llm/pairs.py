@@ -8,6 +8,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -108,48 +109,157 @@ def _words_of(question: str) -> tuple[list[str], int]:
 _question_words = lru_cache(20_000)(_words_of)
 
 
-def tiles(a: list[str], b: list[str], least: int) -> int:
-    """Words of b covered by greedy string tiling with a, down to tiles of `least` words.
-
-    Stretches of a may be used again, so that a repeated copy is covered whole. The longest tiles then cover
-    just the words of all windows of `least` words that a has too, which are found in one pass.
+def _windows(ids: np.ndarray, size: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
+    """A hash of every window of `size` ids: doubled window lengths are put together, so the cost is a logarithm of size."""
+    out = acc = None
+    have, step, part = 0, 1, ids.astype(np.uint64)
+    with np.errstate(over="ignore"):
+        while True:
+            if size & step:
+                acc = part.copy() if acc is None else acc[: len(ids) - have - step + 1] * np.uint64((base * (2 * step + 1)) & 0xFFFFFFFFFFFFFFFF) + part[have : have + len(ids) - have - step + 1]
+                have += step
+            if have == size:
+                out = acc[: len(ids) - size + 1]
+                break
+            part = part[: len(part) - step] * np.uint64((base * (2 * step)) & 0xFFFFFFFFFFFFFFFF) + (part[step:] ^ (part[step:] >> np.uint64(29)))
+            step *= 2
+    return out
+
+
+def tiling(a: list[str], b: list[str], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Greedy string tiling of two word sequences: for each word of a and of b, the number of its tile, or -1.
+
+    Tiles are pairs of equal stretches of at least `least` words. The longest stretches that no tile has
+    marked yet become tiles first; a word is in one tile at most. Stretches are searched by hashes of
+    windows whose length is halved until it is `least`, and extended as far as they go.
+    """
+    of_a, of_b = np.full(len(a), -1), np.full(len(b), -1)
+    size = min(len(a), len(b))
+    if size < max(1, least):
+        return of_a, of_b
+    number: dict[str, int] = {}
+    ids_a, ids_b = (np.array([number.setdefault(w, len(number)) for w in x], np.int64) for x in (a, b))
+    n_tiles = 0
+    while True:
+        while True:
+            free_a, free_b = _free(of_a, size), _free(of_b, size)
+            at: dict[int, list[int]] = {}
+            for i, h in zip(np.flatnonzero(free_a).tolist(), _windows(ids_a, size)[free_a].tolist()):
+                at.setdefault(h, []).append(i)
+            found = []
+            for j, h in zip(np.flatnonzero(free_b).tolist(), _windows(ids_b, size)[free_b].tolist()):
+                for i in at.get(h, ()):
+                    k = 0
+                    while i + k < len(a) and j + k < len(b) and of_a[i + k] < 0 and of_b[j + k] < 0 and ids_a[i + k] == ids_b[j + k]:
+                        k += 1
+                    if k >= size:
+                        found.append((-k, j, i))
+                        if k >= 2 * size:
+                            break
+            new = 0
+            for k, j, i in sorted(found):
+                if (of_a[i : i - k] < 0).all() and (of_b[j : j - k] < 0).all():
+                    of_a[i : i - k] = of_b[j : j - k] = n_tiles
+                    n_tiles, new = n_tiles + 1, new + 1
+            if not new:
+                break
+        if size <= least:
+            return of_a, of_b
+        size = max(least, size // 2)
+
+
+def _free(of: np.ndarray, size: int) -> np.ndarray:
+    marked = np.concatenate(([0], np.cumsum(of >= 0)))
+    return marked[size:] == marked[:-size]
+
+
+def _period(ws: list[str]) -> int:
+    """Length of the shortest stretch whose repetition, the last one perhaps cut, gives the words."""
+    border = [0] * len(ws)
+    k = 0
+    for i in range(1, len(ws)):
+        while k and ws[i] != ws[k]:
+            k = border[k - 1]
+        k += ws[i] == ws[k]
+        border[i] = k
+    return len(ws) - (border[-1] if ws else 0)
+
+
+_COLON_LABEL, _LABEL_SIGN = re.compile(r"[^\n:：]{1,40}[:：]"), re.compile(r"[:：\-–>]")
+#: Words of the shortest tile by which a copy is told, and the share of the question and of the answer that tiles must cover.
+TILE_WORDS, COPY_SHARE = 3, 1.0
+
+
+def copied(question: list[str], answer: list[str], least: int = TILE_WORDS) -> tuple[float, np.ndarray]:
+    """Share of the question that tiles find in the answer, and which words of the answer lie in tiles.
+
+    Where the answer holds the question more than once it is tiled again with the whole question.
+    """
+    least = min(least, len(question))
+    in_tiles, share = np.zeros(len(answer), bool), 0.0
+    while True:
+        rest = np.flatnonzero(~in_tiles)
+        of_q, of_a = tiling(question, [answer[i] for i in rest.tolist()], least)
+        if not (of_a >= 0).any():
+            return share, in_tiles
+        in_tiles[rest[of_a >= 0]] = True
+        share = max(share, float((of_q >= 0).mean()))
+        if not (of_q >= 0).all():
+            return share, in_tiles
+
+
+def is_copy(question: str | None, answer: str, share: float = COPY_SHARE) -> bool:
+    """The answer is the question again and nothing else: lead-in labels, quotes, order and repetition aside.
+
+    Decided by greedy string tiling: tiles must cover at least `share` of the question's words and of the
+    answer's. Tiles are of TILE_WORDS words at least, so the same single words in another order are no copy,
+    and the same sentences or clauses in another order are one. An answer that goes round is tiled once.
     """
-    if len(a) < least or len(b) < least:
-        return 0
-    known = {tuple(a[i : i + least]) for i in range(len(a) - least + 1)}
-    total = end = 0
-    for j in range(len(b) - least + 1):
-        if tuple(b[j : j + least]) in known:
-            total += j + least - max(j, end)
-            end = j + least
-    return total
-
-
-def is_copy(question: str | None, answer: str) -> bool:
-    """The answer is the whole question again and nothing else: lead-in labels, quotes and repetition aside."""
     if not question:
         return False
     q, letters = _question_words(question) if len(question) <= 1000 else _words_of(question)
-    if not q or len(answer) < letters and answer.isascii():
+    if not q or share >= 1 and len(answer) < letters and answer.isascii():
         return False
     body = _ANSWER_LABEL.sub("", answer, count=1)
     a = normal_words(body)
-    if len(a) < len(q):
+    known = set(q)
+    unknown = sum(w not in known for w in a)
+    if len(a) < share * len(q) or unknown and share >= 1 and not _LABEL_SIGN.search(body):
         return False
-    if a[: len(q)] != q and a[-len(q) :] != q:
+    label = _QUESTION_LABEL.match(body) or _COLON_LABEL.match(body)
+    lead = normal_words(label.group()) if label else []
+    lead = lead if a[: len(lead)] == lead != q[: len(lead)] else []
+    labelled = len(lead) * (1 + len(a) // len(q))
+    if unknown > (1 - share) * len(a) + labelled:
         return False
-    if len(a) == len(q):
-        return True
-    rest = a[len(q) :] if a[: len(q)] == q else a[: -len(q)]
-    if rest[-len(q) :] != q and (" ".join(rest) + ":") and len(rest) <= 6 and a[-len(q) :] == q:
-        label = _QUESTION_LABEL.match(body) or re.match(r"^[^\n:：]{1,40}[:：]", body)
-        if label and normal_words(label.group()) == rest:
-            return True
-    if len(q) < 2:
-        return all(w == q[0] for w in a)
-    covered = tiles(q, a, min(len(q), 8))
-    left = [w for w in a if w not in set(q)]
-    return covered >= len(a) - 6 and len(a) % len(q) == len(left) % len(q) and (not left or bool(_QUESTION_LABEL.match(body)))
+    a, q = _once(a[len(lead) :]), _once(q)
+    least = min(TILE_WORDS, len(q))
+    if tileable(q, a, least) < share * len(a) - labelled or tileable(a, q, least) < share * len(q):
+        return False
+    got, in_tiles = copied(q, a)
+    if got < share:
+        return False
+    left = np.flatnonzero(~in_tiles)
+    runs = np.split(left, np.flatnonzero(np.diff(left) > 1) + 1) if len(left) else []
+    beside = sum(len(r) for r in runs if not lead or [a[i] for i in r] != lead)
+    return beside <= (1 - share) * len(a)
+
+
+def _once(ws: list[str]) -> list[str]:
+    """The words without their repetition, if they are one stretch again and again."""
+    around = _period(ws)
+    return ws[:around] if around * 2 <= len(ws) else ws
+
+
+def tileable(a: list[str], b: list[str], least: int) -> int:
+    """Words of b within some stretch of `least` words that a has too: no tiling covers more."""
+    known = {tuple(a[i : i + least]) for i in range(len(a) - least + 1)}
+    total = end = 0
+    for j in range(len(b) - least + 1):
+        if tuple(b[j : j + least]) in known:
+            total += j + least - max(j, end)
+            end = j + least
+    return total
 
 
 # The grammar of refusals, by language. CORE declines; AROUND may stand beside it.
@@ -183,6 +293,33 @@ AROUND = (
     r"(?:es tut mir(?: sehr)? leid|leider|entschuldigung|verzeihung|bedauerlicherweise|danke\b[^.!?;]{0,40}|bitte\b[^.!?;]{0,80}|aber|jedoch)", r"(?:je suis|nous sommes)? ?d[eé]sol[eé]e?s?|malheureusement|pardon|merci\b[^.!?;]{0,40}|(?:veuillez|posez|merci de|n'h[eé]sitez)\b[^.!?;]{0,80}|s'il vous pla[iî]t|mais",
     r"lo (?:siento|lamento)\b[^.!?;,]{0,30}|por desgracia|desafortunadamente|lamentablemente|perd[oó]n|gracias\b[^.!?;]{0,40}|(?:haga|pregunte|por favor|consulte|intente)\b[^.!?;]{0,80}|pero|mi dispiace|purtroppo|desculpe|infelizmente",
 )
+# For further languages, what a declining clause holds: who can't, won't or mayn't, and what is asked for, in any order.
+DECLINES = (
+    (r"\b(?:ich|wir|mir|uns)\b", r"\b(?:kann|k[oö]nnen|darf|d[uü]rfen|m[oö]chte|m[oö]chten|werde|werden|bin|sind)\b[^.!?;]*\b(?:nicht|keine?n?|au[sß]er ?stande)\b", r"\b(?:helfen|weiterhelfen|beantworten|antworten|auskunft|[aä]u[sß]ern|unterst[uü]tzen|eingehen|nachkommen|behilflich)\b"),
+    (r"\b(?:ik|wij|we|mij)\b", r"\b(?:kan|kunnen|mag|mogen|wil|zal|zullen|ben)\b[^.!?;]*\b(?:niet|geen)\b|\bmoet\b[^.!?;]*\bweigeren\b", r"\b(?:helpen|antwoord\w*|beantwoorden|ingaan|bespreken|verstrekken|weigeren|van dienst|meewerken)\b"),
+    (r"\b(?:jag|vi|mig)\b", r"\b(?:kan|f[aå]r|vill|kommer|[aä]r)\b[^.!?;]*\b(?:inte|ingen)\b|\b(?:m[aå]ste|f[aå]r)\b[^.!?;]*\b(?:avst[aå]|avb[oö]ja)\b", r"\b(?:hj[aä]lpa|svara|besvara|diskutera|bist[aå]|uttala|l[aä]mna|st[aå] till tj[aä]nst|avst[aå]r?|avb[oö]ja)\b"),
+    (r"", r"\bnie (?:mog[eę]|mo[zż]emy|jestem w stanie|wolno mi|b[eę]d[eę])|\bmusz[eę] odm[oó]wi[cć]|\bodmawiam", r"\b(?:pom[oó]c|pomaga[cć]|odpowiedzie[cć]|odpowiada[cć]|udzieli[cć]|udziela[cć]|poda[cć]|omawia[cć]|odm[oó]wi[cć]|odmawiam)\b"),
+    (r"", r"\bне (?:могу|можем|в состоянии|имею права|буду|вправе|могла? бы|смогу)|\b(?:вынужден\w*|должн\w*) (?:отказать\w*|отклонить)|\bотказываюсь", r"\b(?:помочь|помогать|ответить|отвечать|обсуждать|предоставить|комментировать|дать|сказать|отказать\w*|отказываюсь|отклонить)"),
+    (r"", r"\bnon (?:posso|possiamo|sono in grado|mi è (?:possibile|permesso|consentito)|sono autorizzat[oa])|\bdevo (?:rifiutar\w*|declinare)|\bmi rifiuto", r"\b(?:aiutar\w*|risponder\w*|fornir\w*|discuter\w*|assister\w*|dare|commentare|rifiutar\w*|declinare|rifiuto)\b"),
+    (r"", r"\bn[aã]o (?:posso|podemos|consigo|estou autorizad[oa]|me é (?:poss[ií]vel|permitido)|sou capaz)|\b(?:devo|tenho que) (?:recusar|declinar)|\brecuso", r"\b(?:ajudar\w*|responder\w*|fornecer\w*|discutir\w*|auxiliar\w*|dar|comentar|recusar|declinar|recuso)\b"),
+    (r"", r"\bnemohu|\bnem[uů][zž]eme|\bnesm[ií]m|\bmus[ií]m odm[ií]tnout", r"\b(?:pomoci|pomoct|odpov[eě]d[eě]t|odpov[ií]dat|poskytnout|odm[ií]tnout)\b"),
+    (r"", r"\bnu (?:pot|putem|am voie|[iî]mi este permis)|\btrebuie s[aă] refuz", r"\b(?:ajut\w*|r[aă]spund\w*|ofer\w*|discut\w*|refuz)\b"),
+    (r"", r"(?:yard[ıi]mc[ıi] ol|yan[ıi]tlay|cevaplay|cevap ver)\w*(?:am[ıi]yorum|amam|emiyorum|emem|amay[ıi]z)", r""),
+    (r"", r"(?:できません|できかねます|いたしかねます|致しかねます|お断り|控え(?:させて|ます))", r"(?:答え|回答|返答|お手伝い|手助け|助け|支援|対応|提供|お伝え|ご案内|お断り|控え)"),
+    (r"", r"(?:无法|不能|不便|不可以|拒绝|無法)", r"(?:回答|帮助|提供|协助|讨论|答复|满足|幫助|拒绝)"),
+    (r"", r"(?:수 없|드릴 수 없|어렵습니다|거절)", r"(?:답변|대답|도움|도와|제공|응답|거절)"),
+)
+#: Stems of which each of those clauses holds one, in small letters.
+_STEMS = ("nicht", "kein", "stande", "niet", "geen", "weigeren", "inte", "ingen", "avst", "avb", "nie mo", "nie jest", "nie wolno", "nie b", "musz", "odmawiam", "non ", "devo ", "rifiut", "nao ", "tenho que", "recuso", "nemoh", "nu ", "refuz", "yard", "cevap")
+_STEMS_BEYOND = (*_STEMS, "не ", "вынужд", "должн", "отказываюсь", "não ", "nemů", "nesm", "musím", "yanıt", "できません", "かねます", "お断り", "控え", "无法", "不能", "不便", "不可以", "拒绝", "無法", "수 없", "어렵", "거절")
+# Words with which a clause goes on to tell something after all.
+_AFTER_ALL = re.compile(r"[,，、]?\s*(?:\b(?:aber|jedoch|sondern|maar|men|ale|но|однако|ma|però|mas|porém|však|dar|insă|însă|ama|fakat)\b|ですが|但是?|하지만)\s*")
+_DECLINES = tuple(tuple(re.compile(x) for x in row) for row in DECLINES)
+# Courtesies of those languages, which may stand in the same answer.
+COURTESY = re.compile(
+    r"\b(?:helaas|het spijt (?:me|ons)|sorry|bedankt|dank u|tyv[aä]rr|f[oö]rl[aå]t|ledsen|tack|niestety|przykro mi|przepraszam|dzi[eę]kuj[eę]|извините|к сожалению|простите|мне жаль|спасибо|извиняюсь|mi dispiace|purtroppo|grazie|spiacente|desculpe|lamento|infelizmente|obrigad[oa]|sinto muito|bohu[zž]el|omlouv[aá]m se|[iî]mi pare r[aă]u|din p[aă]cate|scuze|üzgünüm|maalesef|leider|bitte|entschuldigung)\b"
+    r"|(?:申し訳(?:ございません|ありません)?|すみません|残念ながら|恐れ入りますが|抱歉|对不起|很遗憾|죄송합니다|유감)"
+)
 _CORE = re.compile("|".join(f"(?:{p})" for p in CORE))
 _AROUND = re.compile("|".join(rf"(?:(?<!\w){p}(?!\w))" for p in AROUND))
 _HINT = re.compile(
@@ -197,7 +334,9 @@ def is_refusal(answer: str) -> bool:
     What follows a clause that declines must not go on to answer ("I can't find a lower one, so 7 is least").
     A line's end ends a clause unless the sentence runs on: a small letter follows, or a word precedes after which none ends.
     """
-    if not _HINT.search(answer):
+    hint, small = _HINT.search(answer), answer.lower()
+    elsewhere = any(x in small for x in (_STEMS if answer.isascii() else _STEMS_BEYOND))
+    if not hint and not elsewhere:
         return False
     body = _ANSWER_LABEL.sub("", answer, count=1).replace("’", "'").strip()
     lines = _LINE_END.split(body)
@@ -205,7 +344,34 @@ def is_refusal(answer: str) -> bool:
     for before, line in zip(lines, lines[1:]):
         words = before.rsplit(None, 1)
         parts += [" " if line[:1].islower() or words and words[-1].casefold() in OPEN_WORDS else " ; ", line]
-    return _declines(" ".join("".join(parts).casefold().split()))
+    low = " ".join("".join(parts).casefold().split())
+    return bool(hint) and _declines(low) or elsewhere and _declines_otherwise(low)
+
+
+_CLAUSES = re.compile(r"[.!?;。！？；]+")
+
+
+def _declines_otherwise(low: str) -> bool:
+    """Every clause declines, in a language of DECLINES, or is a courtesy or an offer; at least one declines."""
+    declines, left = False, 0
+    for clause in _CLAUSES.split(low):
+        n = _size(clause)
+        if not n:
+            continue
+        if any(all(x.search(clause) for x in row) for row in _DECLINES):
+            turn = _AFTER_ALL.search(clause)
+            rest = clause[turn.end() :] if turn else ""
+            if _size(rest) >= 4 and not COURTESY.search(rest) and not _AROUND.search(rest):
+                return False
+            declines = True
+        elif not COURTESY.search(clause) and not _AROUND.search(clause):
+            left += n
+    return declines and left <= 5
+
+
+def _size(clause: str) -> int:
+    """Words of a clause; where words aren't spaced, two signs count as one."""
+    return sum(1 if ord(w[0]) < 0x2E80 else max(1, len(w) // 2) for w in _GREEN.findall(clause))
 
 
 def _declines(low: str) -> bool:
@@ -305,45 +471,55 @@ def in_other_language(question: str | None, answer: str) -> bool:
     return not (_ASKS.search(question) and _ASKED[got].search(question))
 
 
-_OPEN, _CLOSE = {"(": ")", "[": "]", "{": "}", "“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", "（": "）"}, frozenset(")]}”“»」』）")
+_PAIRS = {"(": ")", "[": "]", "{": "}", "“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", "（": "）"}
+_CLOSERS = frozenset("".join(_PAIRS.values()))
+# Elements of markup, those that need no end, and wrappers that answers are asked for in.
 _VOID = frozenset("br hr img input li p td th tr meta link area base col source wbr option".split())
+_ELEMENTS = _VOID | frozenset("a abbr article aside b blockquote body button caption center cite code dd del details div dl dt em fieldset figure font footer form h1 h2 h3 h4 h5 h6 head header html i iframe ins kbd label legend main mark nav ol pre q s samp script section select small span strong style sub summary sup svg table tbody textarea tfoot thead title tt u ul var video".split())
+_WRAPPERS = frozenset("answer response output result reply completion assistant thinking reasoning solution final document xml json".split())
 _LAST_MARK = re.compile(r"^[ \t>]*(?:[-*•+]|\d{1,3}[.)]|[a-z][.)]|#{1,6})[ \t]*$")
 #: A text without any of these has no structure to leave open.
 _STRUCTURED = re.compile(r"[(\[{\"“„«「『（`<|*~\n]")
 _SEPARATOR = re.compile(r"^\s*\|?\s*:?-{2,}:?\s*(?:\|\s*:?-*:?\s*)*\|?\s*$")
+_NAMED = _ELEMENTS | _WRAPPERS
+_MARKUP = re.compile(r"<(/?)([A-Za-z][\w:-]*)((?:\s[^<>]*)?/?)>|<(/?)([A-Za-z][\w:-]*)(\s[^<>]*)?$")
+_EMOTICON = re.compile(r"[:;=]['’]?[-o^]?[()]+(?!\w)")
+_INTERVAL = re.compile(r"[(\[\]]\s*[-+−]?[\w.∞]+\s*[,;]\s*[-+−]?[\w.∞]+\s*[)\]\[]")
+_FENCE = re.compile(r"[ \t>]*(?:[-*+]\s+|\d+[.)]\s+)?(`{3,}|~{3,})(.*)")
 
 
 def unfinished_structure(text: str) -> bool:
-    """Whether a pushdown parse of fences, brackets, quotations, markup, lists and tables ends with one open.
-
-    The stack holds what must still be closed. Within a fence only its own kind of end counts besides the
-    brackets and strings of data. A closing sign without its opening is passed over.
+    """Whether a pushdown parse of fences, code marks, brackets, quotations, markup, emphasis, lists and tables ends with one open.
+
+    The stack holds what must still be closed; a closing sign closes what was opened last of its kind and all
+    that stands above it, and one without its opening is passed over. Code marks and emphasis end with their
+    paragraph at the latest, so only those of the last one can be open; emphasis opens before a word only and
+    not within one. A tag counts if it is an element of markup, a wrapper of answers, or closed later on;
+    other words in angle brackets are text. Emoticons and intervals are signs of their own. Within fences and
+    code marks nothing else counts.
     """
     if not _STRUCTURED.search(text):
         return False
-    stack: list[str] = []
     text = text.rstrip()
     lines = text.split("\n")
-    fence = None
-    for line in lines:
-        s = line.strip()
-        if s.startswith(("```", "~~~")):
-            if fence is None:
-                fence = s[:3]
-                if s.count(fence) > 1 and len(s) > 3:
-                    fence = None
-                else:
-                    stack.append(fence)
-            elif s.startswith(fence):
-                while stack and stack[-1] != fence:
-                    stack.pop()
-                if stack:
-                    stack.pop()
-                fence = None
+    data = text.lstrip()[:1] in ("{", "[")
+    ends = frozenset(x.lower() for x in re.findall(r"</([A-Za-z][\w:-]*)\s*>", text)) if "</" in text else frozenset()
+    stack: list[str] = []
+    fence = ""
+    for number, line in enumerate(lines):
+        mark = _FENCE.match(line) if "```" in line or "~~~" in line else None
+        if fence:
+            if mark and mark.group(1).startswith(fence) and not mark.group(2).strip():
+                del stack[_last(stack, fence) :]
+                fence = ""
             continue
-        _scan_line(line, stack, fence is not None or text.lstrip()[:1] in "{[")
-        if fence is None and stack and stack[-1] == '"' and text.lstrip()[:1] not in "{[":
+        if mark and "`" not in mark.group(2):
+            fence = mark.group(1)
+            stack.append(fence)
             continue
+        if not line.strip():
+            stack = [x for x in stack if x[0] not in "`*"]
+        _parse_line(line, stack, data, ends, number == len(lines) - 1)
     if stack:
         return True
     last = lines[-1]
@@ -354,37 +530,95 @@ def unfinished_structure(text: str) -> bool:
         if not last.rstrip().endswith("|") or last.count("|") < rows[0].count("|") or _SEPARATOR.match(last) or len(rows) == 1 and len(lines) == 1:
             return True
         cells = last.strip().strip("|").split("|")
-        if len(cells) == rows[0].strip().strip("|").count("|") + 1 and not cells[-1].strip() and len(cells) > 1:
-            return True
-    opened = [m for m in re.findall(r"<(/?)([A-Za-z][\w-]*)[^<>]*?(/?)>", text) if m[1].lower() not in _VOID and not m[2]] if "<" in text else []
-    count = Counter()
-    for close, name, _ in opened:
-        count[name.lower()] += -1 if close else 1
-    if any(v > 0 for v in count.values()):
-        return True
-    return bool(re.search(r"<[A-Za-z/][\w-]*$", text)) or text.count("**") % 2 == 1 and "```" not in text or text.replace("```", "").count("`") % 2 == 1
+        return len(cells) == rows[0].strip().strip("|").count("|") + 1 and not cells[-1].strip() and len(cells) > 1
+    return False
+
+
+def _last(stack: list[str], what: str) -> int:
+    return len(stack) - 1 - stack[::-1].index(what)
+
 
+_SIGNS = re.compile(r"[()\[\]{}“”„«»「」『』（）\"`<*\\:;=]")
 
-def _scan_line(line: str, stack: list[str], data: bool) -> None:
-    prev, i, n = " ", 0, len(line)
+
+def _parse_line(line: str, stack: list[str], data: bool, ends: frozenset[str], is_last: bool) -> None:
+    i, n = 0, len(line)
     while i < n:
-        c = line[i]
-        if stack and stack[-1] == '"':
-            if c == "\\" and data:
-                i += 2
-                prev = "x"
-                continue
-            if c == '"':
+        m = _SIGNS.search(line, i)
+        if not m:
+            return
+        i, c = m.start(), m.group()
+        before, after = line[i - 1] if i else " ", line[i + 1] if i + 1 < n else " "
+        if stack and stack[-1][0] == "`":  # within code marks
+            run = re.compile("`+").search(line, i) if c == "`" else None
+            if run and len(run.group()) == len(stack[-1]):
                 stack.pop()
-        elif c == '"':
-            if data or not prev.isalnum():
+            i = run.end() if run else i + 1
+            continue
+        if c == "`":
+            run = re.compile("`+").match(line, i)
+            stack.append(run.group())
+            i = run.end()
+            continue
+        if c == "\\":
+            i += 2 if data or after in "()[]{}\"`*<" else 1
+            continue
+        if c == '"':
+            if '"' in stack:
+                del stack[_last(stack, '"') :]
+            elif data or not before.isalnum():
                 stack.append('"')
-        elif c in _OPEN and not (stack and stack[-1] in "„" and c == "“"):
+            i += 1
+            continue
+        if data and '"' in stack:  # a string of data
+            i += 1
+            continue
+        if c in ":;=":
+            face = _EMOTICON.match(line, i) if not data and before.isspace() else None
+            i = face.end() if face else i + 1
+            continue
+        if c in "([]":
+            interval = _INTERVAL.match(line, i)
+            if interval and interval.group()[-1] != _PAIRS.get(c):
+                i = interval.end()
+                continue
+        if c == "<":
+            tag = _MARKUP.match(line, i)
+            if not tag:
+                i += 1
+                continue
+            name, beside = (tag.group(2) or tag.group(5) or "").lower(), before.isalnum()
+            if tag.group(2) is None:  # the line ends within it
+                if is_last and not beside and (tag.group(4) or any(x.startswith(name) for x in _NAMED | ends) if not tag.group(6) else name in _NAMED | ends):
+                    stack.append("<")
+                return
+            if tag.group(1):
+                if "<" + name in stack:
+                    del stack[_last(stack, "<" + name) :]
+            elif name in ends or name in _NAMED and not beside and _ATTRIBUTES.match(tag.group()):
+                if name not in _VOID and not tag.group(3).rstrip().endswith("/"):
+                    stack.append("<" + name)
+            i = tag.end()
+            continue
+        if c == "*":
+            if line.startswith("**", i):
+                here = line[i + 2] if i + 2 < n else " "
+                if "**" in stack and not before.isspace():
+                    del stack[_last(stack, "**") :]
+                elif (here.isalnum() or here in "\"“„«`([_") and not before.isalnum() and before not in "*/":
+                    stack.append("**")
+                while i < n and line[i] == "*":
+                    i += 1
+                continue
+            i += 1
+            continue
+        if c in _PAIRS and not (c == "“" and "„" in stack) and not (before == after and before in "'’\"`"):
             stack.append(c)
-        elif c in _CLOSE:
-            if stack and stack[-1] in _OPEN and c in _OPEN[stack[-1]]:
-                stack.pop()
-        prev = c
+        elif c in _CLOSERS:
+            for k in range(len(stack) - 1, -1, -1):
+                if c in _PAIRS.get(stack[k], ""):
+                    del stack[k:]
+                    break
         i += 1
 
 
@@ -507,9 +741,9 @@ def broken_pairs(pairs: DataFrame, least_seen: int = 5, end_share: float = 0.02)
     """(pair_table, pair_id, defect): the broken ones of pairs (pair_table, pair_id, question, answer), each once.
 
     One pass over whole texts judges every pair by itself: stand-ins and wrappers (empty), greedy string
-    tiling with the question (copy), a grammar of refusals, function words and scripts (language), and a
-    pushdown parse of fences, brackets, quotations, markup, lists and tables together with words and signs
-    after which no sentence ends (truncated). The same pass counts over all answers how often each word,
+    tiling with the question (copy: tiles cover both sides, in any order), a grammar of refusals, function
+    words and scripts (language), and a pushdown parse of fences, code marks, brackets, quotations, markup,
+    emphasis, lists and tables together with words and signs after which no sentence ends (truncated). The same pass counts over all answers how often each word,
     alone and after its predecessor, ends a sentence or goes on. An answer without full stop whose last words
     are seen at least least_seen times, but end a sentence in less than end_share of them, broke off; so did
     one whose last word is no word of the corpus but the beginning of one: seen at most once, or never at an
