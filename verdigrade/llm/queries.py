@@ -63,19 +63,19 @@ def p4_ranks_within_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantiles.ranks_within(rows, answers, ["grp"]).withColumnRenamed("grp", "task_type")
 
 
-def _overlaps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _split_texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     records = table(spark, sf_dir, "candidates_calibration")
-    texts = overlap.split_texts(records, table(spark, sf_dir, "labels_dev"), "generation_id", "case_id", "candidate_text", "case_id", "split", "dev", "holdout")
-    return overlap.overlaps(texts), records
+    return overlap.split_texts(records, table(spark, sf_dir, "labels_dev"), "generation_id", "case_id", "candidate_text", "case_id", "split", "dev", "holdout"), records
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = _overlaps(spark, sf_dir)
+    found = overlap.overlaps(_split_texts(spark, sf_dir)[0], divisor=overlap.DIVISOR)
     return found.select(F.least("train_id", "eval_id").alias("generation_id_1"), F.greatest("train_id", "eval_id").alias("generation_id_2")).distinct()
 
 
 def p5_overlaps_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlap.overlap_report(*_overlaps(spark, sf_dir), "generation_id", "source")
+    texts, records = _split_texts(spark, sf_dir)
+    return overlap.link_report(*overlap.overlap_links(texts, divisor=overlap.DIVISOR), records, "generation_id", "source")
 
 
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
