@@ -63,3 +63,47 @@ def test_capacity(spark):
     with pytest.raises(ValueError):
         pk.capacity_of(m, "b")
     assert pk.packing_report(spark.createDataFrame([(1, 5), (1, 5), (2, 10)], "container_id int, tokens int"), 10).select(F.round("fill", 3)).first()[0] == 1.0
+
+
+def _many(spark, sizes):
+    """Texts of about so many tokens by source, with a name of their own for each."""
+    rows, n = [], 0
+    for source, (count, low, high) in sizes.items():
+        for _ in range(count):
+            rows.append((n, " x" * RNG.randrange(low, high), source))
+            n += 1
+    return spark.createDataFrame(rows, "doc_id long, text string, source string")
+
+
+def test_mixture_is_kept_and_the_surplus_apart(spark):
+    df = _many(spark, {"a": (900, 5, 40), "b": (300, 5, 40), "c": (200, 5, 40)})
+    mixture = {"a": 0.5, "b": 0.5}
+    for shard in (10**9, 6_000):
+        got = pk.pack(df, 128, mixture=mixture, tokens_per_shard=shard)
+        rows = got.collect()
+        assert sorted(r.doc_id for r in rows) == list(range(1400))
+        inside = {s: sum(r.tokens for r in rows if r.in_mixture and r.source == s) for s in "abc"}
+        assert inside["c"] == 0 and abs(inside["a"] / (inside["a"] + inside["b"]) - 0.5) < 0.02
+        assert sum(r.tokens for r in rows if r.source == "b" and not r.in_mixture) <= 0.02 * inside["b"] + 40
+        assert not {r.container_id for r in rows if r.in_mixture} & {r.container_id for r in rows if not r.in_mixture}
+        report = {r.source: r for r in pk.mixture_report(got, mixture).collect()}
+        assert set(report) == {"a", "b"} and all(r.target == 0.5 and abs(r.share - 0.5) < 0.02 for r in report.values())
+    assert all(not r.in_mixture for r in pk.pack(df, 128, mixture={"a": 0.5, "nobody": 0.5}).collect())
+
+
+def test_cumulative_deviation_is_bounded(spark):
+    df = _many(spark, {"hot": (2000, 5, 60), "b": (600, 5, 60), "c": (300, 5, 60), "long": (5, 700, 900)})
+    for shard in (10**9, 20_000):
+        packed = pk.pack(df, 256, tokens_per_shard=shard)
+        report = pk.mixture_report(packed).collect()
+        assert abs(sum(r.share for r in report) - 1) < 1e-9 and sum(r.tokens for r in report) == packed.agg({"tokens": "sum"}).first()[0]
+        total = sum(r.tokens for r in report)
+        assert all(max(r.most_over, r.most_under) <= 0.06 * total for r in report if r.source != "long")
+        assert all(max(r.most_over, r.most_under) <= 8 * 256 for r in report if r.source in "bc")
+
+
+def test_rows_without_id_spread_over_shards(spark):
+    df = spark.range(3000).selectExpr("cast(null as long) as doc_id", "'same text of a few words' as text", "'s' as source")
+    got = pk.pack(df, 64, tokens_per_shard=2_000).collect()
+    shards = {r.container_id >> 30 for r in got}
+    assert len(got) == 3000 and len(shards) >= 6

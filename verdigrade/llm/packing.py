@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verdigrade.operators.ordered import running
 from verdigrade.session import materialize
 
 #: A public byte-level BPE as ranks; only the path is known here.
@@ -130,66 +131,99 @@ def pack(
     docs: DataFrame, capacity: int, id_col: str = "doc_id", text: str = "text", source: str = "source", tokenizer: str = TOKENIZER,
     mixture: dict[str, float] | None = None, tokens_per_shard: int = 4_000_000, refill_below: float = 0.97,
 ) -> DataFrame:
-    """(doc_id, source, piece, n_pieces, first_token, tokens, container_id): where each document went.
+    """(doc_id, source, piece, n_pieces, first_token, tokens, in_mixture, container_id): where each document went.
 
-    A document longer than the capacity is split into pieces of exactly the capacity, each a container of its
-    own, and a rest that is an item as any other; no other document is split. Items are spread over shards of
-    about tokens_per_shard tokens by a hash of their id, so that no source or long document gathers in a
-    task; each shard is packed by deficit round-robin (fill). mixture: the target share of tokens by source,
-    that of the corpus by default. What each source is owed at the start of a shard is what all shards before
-    it leave it, known from the shards' token sums before any shard is packed; so deficits carry across
-    shards as they do across containers. Items of containers filled below refill_below, a few a shard, are
-    packed once more together.
+    A document longer than the capacity is split into pieces of exactly the capacity, each of which fills a
+    container, and a rest that is an item as any other; no other document is split. Items are spread over
+    shards of about tokens_per_shard tokens by a hash of row and piece, so that no source, long document or
+    repeated id gathers in a task; each shard is packed by deficit round-robin (fill). What each source is owed
+    at the start of a shard is what all shards before it leave it, known from the shards' token sums before any
+    shard is packed; so deficits carry across shards as they do across containers. Items of containers filled
+    below refill_below, a few a shard, are packed once more together.
+
+    mixture: the target share of tokens by source; that of the corpus by default, and then all documents are
+    in it. A mixture other than the corpus's can't hold all of it: as many tokens are taken as the scarcest
+    source allows at its share, from each source by a hash of its items, and packed to the target; the surplus,
+    and sources without a share, go to containers of their own (in_mixture false) by their own proportions.
 
     Defined results: null and empty texts have no tokens and share a container with others; a null source is
-    the source ''; rows with equal or null ids are packed each for itself; an empty table gives no row.
+    the source ''; rows with equal or null ids are packed each for itself; an empty table gives no row; a
+    mixture of which some source has no tokens leaves everything to the surplus.
     """
     if capacity < 1:
         raise ValueError("capacity must be at least one token")
-    counts = materialize(token_counts(docs, id_col, text, source, tokenizer), "tokens")
-    pieces = counts.select("doc_id", "source", "tokens", F.floor(F.col("tokens") / F.lit(capacity)).cast("bigint").alias("n_full"), (F.col("tokens") % F.lit(capacity)).alias("rest")).withColumn(
-        "n_pieces", F.greatest(F.lit(1), F.col("n_full") + (F.col("rest") > 0).cast("int")).cast("int")
-    )
-    key = F.xxhash64("doc_id", "source", "tokens")
-    # Ids of whole-capacity pieces are negative: a hash would not be unique, so they are numbered by partition.
-    full = (
-        pieces.where("n_full > 0")
-        .withColumn("piece", F.explode(F.sequence(F.lit(0), (F.col("n_full") - 1).cast("int"))))
+    counts = materialize(token_counts(docs, id_col, text, source, tokenizer).withColumn("_row", F.monotonically_increasing_id()), "tokens")
+    full, rest = F.floor(F.col("tokens") / F.lit(capacity)).cast("int"), F.col("tokens") % F.lit(capacity)
+    items = (
+        counts.withColumn("n_full", full)
+        .withColumn("n_pieces", F.greatest(F.lit(1), full + (rest > 0).cast("int")))
+        .withColumn("rest", rest)
+        .withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("n_pieces") - 1)))
         .select(
-            "doc_id", "source", "piece", "n_pieces", (F.col("piece") * F.lit(capacity).cast("bigint")).alias("first_token"), F.lit(capacity).cast("bigint").alias("tokens"),
-            (-1 - F.monotonically_increasing_id()).alias("container_id"),
+            "doc_id", "source", "piece", "n_pieces", (F.col("piece") * F.lit(capacity).cast("bigint")).alias("first_token"),
+            F.when(F.col("piece") < F.col("n_full"), F.lit(capacity)).otherwise(F.col("rest")).cast("bigint").alias("tokens"), F.xxhash64("_row", "piece").alias("_h"),
         )
     )
-    items = pieces.where("rest > 0 or tokens = 0").select(
-        "doc_id", "source", (F.col("n_pieces") - 1).alias("piece"), "n_pieces", (F.col("n_full") * F.lit(capacity)).alias("first_token"), F.col("rest").alias("tokens"), key.alias("_h")
-    )
-    sums = counts.groupBy("source").agg(F.sum("tokens").alias("tokens"))
-    first = materialize(_round(items, sums, capacity, mixture, tokens_per_shard, 0), "packed")
+    args = (capacity, tokens_per_shard, refill_below)
+    if mixture is None:
+        return _packed(items, None, 0, *args).withColumn("in_mixture", F.lit(True)).select(*COLUMNS)
+    total = sum(mixture.values())
+    shares = {s: x / total for s, x in mixture.items() if x > 0}
+    have = {r["source"]: r["n"] for r in counts.where(F.col("source").isin(*shares)).groupBy("source").agg(F.sum("tokens").alias("n")).collect()}  # a row a source of the mixture
+    most = min((have.get(s, 0) / x for s, x in shares.items()), default=0)
+    taken = {s: min(1.0, x * most / have[s]) for s, x in shares.items() if have.get(s)}
+    part = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in taken.items() for x in kv)), F.col("source")), F.lit(0.0)) if taken else F.lit(0.0)
+    drawn = F.pmod(F.xxhash64("_h", F.lit(7)), F.lit(1 << 30)) < part * (1 << 30)
+    within = _packed(items.where(drawn), shares, 0, *args).withColumn("in_mixture", F.lit(True))
+    return within.unionByName(_packed(items.where(~drawn), None, 2, *args).withColumn("in_mixture", F.lit(False))).select(*COLUMNS)
+
+
+COLUMNS = ("doc_id", "source", "piece", "n_pieces", "first_token", "tokens", "in_mixture", "container_id")
+#: Bits of a container's number within its shard, and of its shard within the round.
+_IN_SHARD, _SHARDS = 30, 30
+
+
+def _packed(items: DataFrame, shares: dict[str, float] | None, number: int, capacity: int, tokens_per_shard: int, refill_below: float) -> DataFrame:
+    """The items with their containers, in rounds `number` and, for loosely filled containers, the next."""
+    first = materialize(_round(items, shares, capacity, tokens_per_shard, number), "packed")
     used = first.groupBy("container_id").agg(F.sum("tokens").alias("used"))
-    loose = first.join(used.where(F.col("used") < refill_below * capacity).select("container_id"), "container_id", "left_semi").drop("container_id", "_h")
-    kept = first.join(used.where(F.col("used") >= refill_below * capacity).select("container_id"), "container_id", "left_semi").drop("_h")
-    again = _round(loose.withColumn("_h", key), sums, capacity, mixture, tokens_per_shard, 1).drop("_h")
-    return full.unionByName(kept).unionByName(again)
+    loose = first.join(used.where(F.col("used") < refill_below * capacity).select("container_id"), "container_id", "left_semi").drop("container_id")
+    kept = first.join(used.where(F.col("used") >= refill_below * capacity).select("container_id"), "container_id", "left_semi")
+    return kept.unionByName(_round(loose, shares, capacity, tokens_per_shard, number + 1)).drop("_h")
+
+
+def _before(sums: DataFrame, tokens: str, keys: list[str]) -> DataFrame:
+    """(_shard, keys..., had): tokens of the shards before each, without a window over all shards."""
+    return running(sums, "_shard", [tokens], keys).select("_shard", *keys, (F.col(f"run_{tokens}") - F.col(tokens)).alias("had"))
+
 
+def _shares(sums: DataFrame, shares: dict[str, float] | None) -> DataFrame:
+    """(source, share): the given ones, or those of the tokens."""
+    by_source = sums.groupBy("source").agg(F.sum("here").alias("tokens"))
+    if shares is None:
+        total = by_source.agg(F.sum("tokens").alias("all"))
+        return by_source.crossJoin(F.broadcast(total)).select("source", (F.col("tokens") / F.greatest(F.col("all"), F.lit(1))).alias("share"))  # one row
+    given = F.create_map(*(F.lit(x) for kv in shares.items() for x in kv)) if shares else F.lit(None).cast("map<string,double>")
+    return by_source.select("source", F.coalesce(F.element_at(given, F.col("source")), F.lit(0.0)).alias("share"))
 
-def _round(items: DataFrame, sums: DataFrame, capacity: int, mixture: dict[str, float] | None, tokens_per_shard: int, number: int) -> DataFrame:
+
+def _round(items: DataFrame, shares: dict[str, float] | None, capacity: int, tokens_per_shard: int, number: int) -> DataFrame:
     """The items with their containers, numbered within round `number`."""
     total, rows = items.agg(F.sum("tokens"), F.count(F.lit(1))).first()
     shards = max(1, -(-(total or 0) // tokens_per_shard), -(-rows // tokens_per_shard))
     shard: Column = F.pmod(F.col("_h"), F.lit(shards)).cast("int")
     items = items.withColumn("_shard", shard)
     at = items.groupBy("_shard", "source").agg(F.sum("tokens").alias("here"))
-    if mixture is None:
-        share = sums.crossJoin(F.broadcast(sums.agg(F.sum("tokens").alias("all")))).select("source", (F.col("tokens") / F.greatest(F.col("all"), F.lit(1))).alias("share"))  # one row
+    if shards > 1:
+        at = materialize(at, "shard-sums")
+        ahead = _before(at.groupBy("_shard").agg(F.sum("here").alias("in_shard")), "in_shard", []).withColumnRenamed("had", "ahead")
+        had = _before(at, "here", ["source"])
     else:
-        share = sums.select("source", F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in mixture.items() for x in kv)), F.col("source")), F.lit(0.0)).alias("share"))
-    earlier = (Window.unboundedPreceding, -1)
-    by_shard = at.groupBy("_shard").agg(F.sum("here").alias("in_shard"))  # a row a shard
-    ahead = by_shard.select("_shard", F.coalesce(F.sum("in_shard").over(Window.partitionBy(F.lit(0)).orderBy("_shard").rowsBetween(*earlier)), F.lit(0)).alias("ahead"))
+        ahead = at.select("_shard", F.lit(0).alias("ahead")).distinct()
+        had = at.select("_shard", "source", F.lit(0).alias("had"))
     state = (
-        at.withColumn("had", F.coalesce(F.sum("here").over(Window.partitionBy("source").orderBy("_shard").rowsBetween(*earlier)), F.lit(0)))
-        .join(ahead, "_shard")
-        .join(share, "source")
+        had.join(ahead, "_shard")
+        .join(_shares(at, shares), "source")
         .select("_shard", "source", "share", (F.col("share") * F.col("ahead") - F.col("had")).cast("double").alias("owed"))
         .toDF("_of", "source", "share", "owed")
     )
@@ -198,9 +232,9 @@ def _round(items: DataFrame, sums: DataFrame, capacity: int, mixture: dict[str,
         if rows.empty:
             return rows.assign(container_id=[]).drop(columns="_shard")
         state = state.set_index("source")
-        order = rows.sort_values(["_h", "doc_id", "source", "tokens"], na_position="last").reset_index(drop=True)
+        order = rows.sort_values(["_h", "doc_id", "source", "piece"], na_position="last").reset_index(drop=True)
         placed = fill(list(zip(order["tokens"].tolist(), order["source"].tolist(), range(len(order)))), capacity, state["share"].to_dict(), state["owed"].to_dict())
-        base = (number << 60) + (int(key[0]) << 30)
+        base = (number << _IN_SHARD + _SHARDS) + (int(key[0]) << _IN_SHARD)
         out = order.iloc[[i for i, _ in placed]].drop(columns="_shard")
         return out.assign(container_id=[base + c for _, c in placed])
 
@@ -208,6 +242,36 @@ def _round(items: DataFrame, sums: DataFrame, capacity: int, mixture: dict[str,
     return items.groupBy("_shard").cogroup(state.groupBy("_of")).applyInPandas(each, schema)
 
 
+def mixture_report(packed: DataFrame, mixture: dict[str, float] | None = None) -> DataFrame:
+    """(source, target, tokens, share, most_over, most_under): how closely the containers in the mixture keep to the target.
+
+    most_over, most_under: tokens by which a source was ahead of, or behind, its target share of all tokens
+    placed up to then, at its worst, taken after every container in their order. Deficit round-robin bounds
+    both by a container and an item as long as the source has items waiting; a source whose items all went
+    to earlier containers of its shard falls behind until the next shard.
+    """
+    per = packed.where("in_mixture").groupBy("container_id", "source").agg(F.sum("tokens").alias("here"))
+    per = materialize(per.withColumn("_shard", F.shiftright("container_id", _IN_SHARD)), "container-sources")
+    shares = {s: x / sum(mixture.values()) for s, x in mixture.items()} if mixture else None
+    boxes = per.groupBy("_shard", "container_id").agg(F.sum("here").alias("used"))
+    upto = boxes.select("container_id", F.sum("used").over(Window.partitionBy("_shard").orderBy("container_id")).alias("all"), "used")  # the containers of a shard
+    at = per.groupBy("_shard", "source").agg(F.sum("here").alias("here"))
+    numbered = lambda df: df.withColumn("_shard", F.col("_shard").cast("bigint"))
+    ahead = _before(numbered(at.groupBy("_shard").agg(F.sum("here").alias("in_shard"))), "in_shard", []).withColumnRenamed("had", "all_before")
+    had = _before(numbered(at), "here", ["source"])
+    mine = per.withColumn("mine", F.sum("here").over(Window.partitionBy("_shard", "source").orderBy("container_id")))
+    met = mine.join(upto, "container_id").join(ahead, "_shard").join(had, ["_shard", "source"]).join(_shares(at, shares).withColumnRenamed("share", "target"), "source")
+    after = F.col("had") + F.col("mine") - F.col("target") * (F.col("all_before") + F.col("all"))
+    before = F.col("had") + F.col("mine") - F.col("here") - F.col("target") * (F.col("all_before") + F.col("all") - F.col("used"))
+    total = boxes.agg(F.sum("used").alias("everything"))
+    return (
+        met.groupBy("source", "target")
+        .agg(F.sum("here").alias("tokens"), F.greatest(F.max(after), F.lit(0.0)).alias("most_over"), F.greatest(F.max(-before), F.lit(0.0)).alias("most_under"))
+        .crossJoin(F.broadcast(total))  # one row
+        .select("source", "target", "tokens", (F.col("tokens") / F.greatest("everything", F.lit(1))).alias("share"), "most_over", "most_under")
+    )
+
+
 def packing_report(packed: DataFrame, capacity: int) -> DataFrame:
     """(n_containers, n_documents, tokens, fill): how full the containers are over all."""
     per = packed.groupBy("container_id").agg(F.sum("tokens").alias("used"))

@@ -88,6 +88,11 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing_report(packing.pack(table(spark, sf_dir, "documents"), capacity), capacity)
 
 
+def p6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    capacity = packing.capacity_of(table(spark, sf_dir, "model_versions"), CONTAINER_MODEL)
+    return packing.mixture_report(packing.pack(table(spark, sf_dir, "documents"), capacity))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "holdout_passages")).where("exact").select("doc_id", "item_id")
 
@@ -109,7 +114,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p2_found, p2_split_assignment, p3_found, p3_defects_by_table, p4_percentiles, p4_ranks_within_bound,
-        p5_found, p5_overlaps_by_source, p6_containers, p6_fill, p7_found, p7_leaked_items, p8_found, p8_clean_corpus,
+        p5_found, p5_overlaps_by_source, p6_containers, p6_fill, p6_mixture, p7_found, p7_leaked_items, p8_found, p8_clean_corpus,
     )
 }
 
