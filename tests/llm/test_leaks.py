@@ -52,6 +52,37 @@ def test_brute_force(spark, data, sent, monkeypatch):
     assert len(got) == len({(r.doc_id, r.item_id) for r in got})
 
 
+@pytest.mark.parametrize("sent", [64 << 20, 0])
+def test_hot_seed_and_item(spark, sent, monkeypatch):
+    """A third of all documents holds one passage, and many items share a sentence."""
+    monkeypatch.setattr(lk, "SENT_BYTES", sent)
+    shared = " ".join(f"c{i}" for i in range(14))
+    items = [(i, f"{text(10)} i{i} {shared} {text(10)} j{i}") for i in range(40)]
+    docs = [(d, f"{text(20)} {shared} {text(20)}" if d % 3 == 0 else text(50)) for d in range(300)] + [(1000 + d, items[0][1]) for d in range(150)]
+    got = {(r.doc_id, r.item_id) for r in lk.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, item_text string")).collect() if r.exact}
+    assert got == brute(docs, items) and len(got) >= 100 * 40
+
+
+@pytest.mark.parametrize("sent", [64 << 20, 0])
+def test_recall_of_edited_copies(spark, sent, monkeypatch):
+    """Of passages of 60 words with so many of them replaced, dropped or added at random, the share that comes out."""
+    monkeypatch.setattr(lk, "SENT_BYTES", sent)
+    draw = random.Random(4)
+    items = [(i, " ".join(f"v{draw.randrange(5000)}" for _ in range(60))) for i in range(100)]
+    docs = []
+    for k, share in enumerate((0.05, 0.1, 0.2, 0.3)):
+        for i, t in items:
+            w = t.split()
+            for _ in range(round(len(w) * share)):
+                at, kind = draw.randrange(len(w)), draw.randrange(3)
+                w[at : at + 1] = [[f"n{draw.randrange(9999)}"], [], [w[at], f"n{draw.randrange(9999)}"]][kind]
+            docs.append((k * 1000 + i, f"{text(15)} {' '.join(w)} {text(15)}"))
+    got = {(r.doc_id // 1000, r.doc_id % 1000) for r in lk.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, item_text string")).collect() if r.doc_id % 1000 == r.item_id}
+    recall = [sum((k, i) in got for i, _ in items) / 100 for k in range(4)]
+    print("recall of edited copies", recall)
+    assert recall[0] == 1 and recall[1] >= 0.97 and recall[2] >= 0.6
+
+
 def test_edited_copy(spark):
     item = [f"q{i}" for i in range(40)]
     doc = [("z" if i % 8 == 7 else w) for i, w in enumerate(item)]
