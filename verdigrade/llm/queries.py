@@ -29,6 +29,23 @@ def p2_split_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("record").alias("label_id"), F.col("grp").alias("group_id"), "split")
 
 
+def p2_label_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels_dev")
+    assigned = splits.assign_splits(labels, "label_id", _label_entities(), F.col("label_value"), SHARES)
+    return splits.label_deviation(assigned, labels, "label_id", F.col("label_value"), SHARES).withColumnRenamed("stratum", "label_value")
+
+
+def p2_split_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds of any right assignment: every label id once, no key in two splits, sizes near their shares."""
+    labels = table(spark, sf_dir, "labels_dev")
+    assigned = materialize(splits.assign_splits(labels, "label_id", _label_entities(), F.col("label_value"), SHARES), "assigned")
+    edges = splits.entity_edges(labels, "label_id", _label_entities())
+    torn = edges.join(assigned, "record").groupBy("entity").agg(F.count_distinct("split").alias("n")).where("n > 1").agg(F.count(F.lit(1)).alias("n_torn"))
+    sizes = assigned.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("record").alias("n_labels"), *(F.count_if(F.col("split") == s).alias(s) for s in SHARES))
+    near = [F.abs(F.col(s) - x * F.col("n_rows")) <= 0.02 * F.col("n_rows") + 1 for s, x in SHARES.items()]
+    return sizes.crossJoin(torn).select("n_rows", "n_labels", "n_torn", (near[0] & near[1] & near[2]).alias("sizes_near_shares"))  # one row each
+
+
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, q = table(spark, sf_dir, "candidates_calibration"), table(spark, sf_dir, "qa_baseline")
     return c.select(F.lit("candidates_calibration").alias("pair_table"), norm_key(F.col("generation_id")).alias("pair_id"), F.col("prompt").alias("question"), F.col("candidate_text").alias("answer")).unionByName(
@@ -93,6 +110,17 @@ def p6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.mixture_report(packing.pack(table(spark, sf_dir, "documents"), capacity))
 
 
+def p6_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds of any right packing: every document whole in it, no container over its capacity, no document split that fits."""
+    docs = table(spark, sf_dir, "documents")
+    capacity = packing.capacity_of(table(spark, sf_dir, "model_versions"), CONTAINER_MODEL)
+    packed = materialize(packing.pack(docs, capacity), "containers")
+    full = packed.groupBy("container_id").agg(F.sum("tokens").alias("used")).agg(F.count_if(F.col("used") > capacity).alias("n_over"))
+    whole = packed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("n_pieces").alias("n_pieces"), F.sum("tokens").alias("tokens"))
+    split = whole.agg(F.count(F.lit(1)).alias("n_documents"), F.count_if(F.col("n") != F.col("n_pieces")).alias("n_broken"), F.count_if((F.col("n_pieces") > 1) & (F.col("tokens") <= capacity)).alias("n_split_needlessly"))
+    return split.crossJoin(full)  # one row each
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "holdout_passages")).where("exact").select("doc_id", "item_id")
 
@@ -102,6 +130,10 @@ def p7_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.max("longest_run").alias("longest_run"), F.max("score").alias("best_score"))
 
 
+def p7_documents_by_item(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_found(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue(table(spark, sf_dir, "documents")).select("doc_id")
 
@@ -113,8 +145,8 @@ def p8_clean_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p2_found, p2_split_assignment, p3_found, p3_defects_by_table, p4_percentiles, p4_ranks_within_bound,
-        p5_found, p5_overlaps_by_source, p6_containers, p6_fill, p6_mixture, p7_found, p7_leaked_items, p8_found, p8_clean_corpus,
+        p2_found, p2_split_assignment, p2_label_deviation, p2_split_checks, p3_found, p3_defects_by_table, p4_percentiles, p4_ranks_within_bound,
+        p5_found, p5_overlaps_by_source, p6_containers, p6_fill, p6_mixture, p6_checks, p7_found, p7_leaked_items, p7_documents_by_item, p8_found, p8_clean_corpus,
     )
 }
 
@@ -127,13 +159,20 @@ m AS (SELECT l.label_id, l.split, coalesce(g.g, 'l' || l.label_id) AS g FROM l L
 """
 _WORDS = r"regexp_extract_all(lower(regexp_replace({}, '[''’‘`´]', '', 'g')), '[\p{{L}}\p{{N}}\p{{M}}]+')"
 
+_P7 = (
+    f"WITH d AS (SELECT doc_id AS id, {_WORDS.format('text')} AS w FROM documents), i AS (SELECT item_id AS id, {_WORDS.format('item_text')} AS w FROM holdout_passages),\n"
+    "dg AS (SELECT DISTINCT id, array_to_string(w[k:k+11], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 10)) AS k FROM d WHERE len(w) > 11)),\n"
+    "ig AS (SELECT DISTINCT id, array_to_string(w[k:k+11], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 10)) AS k FROM i WHERE len(w) > 11))\n"
+    "SELECT DISTINCT dg.id AS doc_id, ig.id AS item_id FROM dg JOIN ig USING (g)"
+)
+
 ORACLE = {
+    "p2_split_checks": "SELECT count(DISTINCT label_id) AS n_rows, count(DISTINCT label_id) AS n_labels, 0::BIGINT AS n_torn, true AS sizes_near_shares FROM labels_dev",
+    "p6_checks": "SELECT count(*) AS n_documents, 0::BIGINT AS n_broken, 0::BIGINT AS n_split_needlessly, 0::BIGINT AS n_over FROM documents",
+    "p7_documents_by_item": f"SELECT item_id, count(*) AS n_documents FROM ({_P7}) GROUP BY item_id",
     "p2_found": _LABELS + "SELECT DISTINCT label_id FROM m WHERE g IN (SELECT g FROM m WHERE split IN ('dev', 'holdout') GROUP BY g HAVING count(DISTINCT split) = 2)",
     "p4_ranks_within_bound": """WITH v AS (SELECT example_id, min({'t': task_type, 'v': latency_ms}) AS r FROM qa_baseline GROUP BY 1)
 SELECT r.t AS task_type, count(*) AS n, q.level::DOUBLE AS level, true AS within FROM v, (VALUES (0.5), (0.9), (0.95), (0.99)) q(level)
 WHERE r.v IS NOT NULL AND NOT isnan(r.v) AND r.v >= 0 GROUP BY r.t, q.level""",
-    "p7_found": f"WITH d AS (SELECT doc_id AS id, {_WORDS.format('text')} AS w FROM documents), i AS (SELECT item_id AS id, {_WORDS.format('item_text')} AS w FROM holdout_passages),\n"
-    "dg AS (SELECT DISTINCT id, array_to_string(w[k:k+11], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 10)) AS k FROM d WHERE len(w) > 11)),\n"
-    "ig AS (SELECT DISTINCT id, array_to_string(w[k:k+11], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 10)) AS k FROM i WHERE len(w) > 11))\n"
-    "SELECT DISTINCT dg.id AS doc_id, ig.id AS item_id FROM dg JOIN ig USING (g)",
+    "p7_found": _P7,
 }

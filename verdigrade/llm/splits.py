@@ -177,3 +177,16 @@ def assign_splits(
     if big:
         done = small.unionByName(records.sparkSession.createDataFrame([(r["grp"], names[i]) for r, i in zip(big, placed)], "grp string, split string"))
     return salted_join(groups, done, "grp", "inner", hot_keys(by_group.select("grp", F.col("size").alias("n")), "grp"), [F.col("record")]).select("record", "grp", "split")
+
+
+def label_deviation(assigned: DataFrame, records: DataFrame, record_id: str, stratum: Column, shares: dict[str, float]) -> DataFrame:
+    """(split, stratum, n, target, deviation): how far each split's labels are from its share of all, in records and relative to the target.
+
+    assigned: (record, split), see assign_splits. A stratum that a split has no record of is a row with n 0;
+    records whose copies differ in stratum count under the least; null strata are a stratum.
+    """
+    total = sum(shares.values())
+    strata = records.select(F.col(record_id).alias("record"), stratum.cast("string").alias("stratum")).groupBy("record").agg(F.min("stratum").alias("stratum"))
+    cells = strata.join(assigned.select("record", "split"), "record").groupBy("stratum").agg(*(F.count_if(F.col("split") == s).alias(f"n_{i}") for i, s in enumerate(shares)), F.count(F.lit(1)).alias("all"))
+    rows = F.array(*(F.struct(F.lit(s).alias("split"), F.col(f"n_{i}").alias("n"), (F.col("all") * F.lit(x / total)).alias("target")) for i, (s, x) in enumerate(shares.items())))
+    return cells.select("stratum", F.explode(rows).alias("x")).select("x.split", "stratum", "x.n", "x.target", ((F.col("x.n") - F.col("x.target")) / F.col("x.target")).alias("deviation"))
