@@ -106,3 +106,24 @@ def test_agreement(spark):
     assert cal.krippendorff(t, True).first()[0] == pytest.approx(1 - 0.4 / np.mean([(x - y) ** 2 for x in [1, 2, 3, 3, 1, 1, 2, 3, 2, 2] for y in [1, 2, 3, 3, 1, 1, 2, 3, 2, 2]]))
     same = cal.rating_table(spark.createDataFrame([(1, 1), (1, 1)], "a int, b int"), "a", "b")
     assert cal.cohen_kappa(same).first()[0] is None and cal.spearman(same).first()[0] is None and cal.krippendorff(same, False).first()[0] is None
+
+
+def test_one_confidence_shared_by_a_billion_rows(spark):
+    """A confidence costs one row whatever its count; the closed form equals the sum."""
+    for n0, n, e0, miss in ((0, 7, 0, 3), (5, 12, 2, 12), (100, 1000, 40, 1), (0, 1, 0, 1)):
+        df = spark.createDataFrame([(n0, n)], "a bigint, b bigint").select((cal.harmonic(F.col("a") + F.col("b")) - cal.harmonic(F.col("a"))).alias("h"))
+        assert df.first()[0] == pytest.approx(sum(1 / i for i in range(n0 + 1, n0 + n + 1)), rel=1e-10)
+    rows = spark.range(1_000_000).select((F.col("id") % 4 == 0).alias("ok"), F.lit(0.7).alias("p"))
+    r = cal.risk_summary(rows, "ok", "p").first()
+    assert r.aurc == pytest.approx(0.75, abs=1e-5) and r.accuracy_at == pytest.approx(0.25)
+
+
+def test_interval_of_many_distinct_values(spark):
+    rows = spark.range(60_000).select((F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 1_000_003).alias("x"), F.lit(1).alias("y"))
+    rows = rows.unionByName(spark.createDataFrame([(None, 1), (float("nan"), 1)], "x double, y int"))
+    r = cmp.interval(rows, "x", resamples=2000).first()
+    v = np.array([a.x for a in rows.collect() if a.x is not None and a.x == a.x])
+    half = 1.96 * v.std() / np.sqrt(len(v))
+    assert r["mean"] == pytest.approx(v.mean()) and r.ci_low == pytest.approx(v.mean() - half, abs=half / 8) and r.ci_high == pytest.approx(v.mean() + half, abs=half / 8)
+    one = cmp.interval(spark.range(1_000_000).select(F.lit(0.5).alias("x")), "x").first()
+    assert (one["mean"], one.ci_low, one.ci_high) == (0.5, 0.5, 0.5)

@@ -97,18 +97,10 @@ def without_fence(c: Column) -> Column:
 
 
 def claims(c: Column, most: int = 20, limit: int = 280) -> Column:
-    """Sentences of each line, at most `most`, each truncated; abbreviations keep their point."""
-    held = c
-    for i, a in enumerate(ABBREVIATIONS):
-        held = F.replace(held, F.lit(a), F.lit(f"\u0001{i}\u0002"))
-    parts = F.split(held, r"(?U)(?<=[.!?])\s+|[\r\n\x0b\x0c\x1c-\x1e\x85  ]+")
-
-    def restored(p: Column) -> Column:
-        for i, a in enumerate(ABBREVIATIONS):
-            p = F.replace(p, F.lit(f"\u0001{i}\u0002"), F.lit(a))
-        return truncate(p, limit)
-
-    return F.slice(F.filter(F.transform(parts, restored), lambda p: p != ""), 1, most)
+    """Sentences of each line, at most `most`, each truncated; a point that ends an abbreviation ends no sentence."""
+    abbreviated = "|".join("".join(f"\\{x}" if not x.isalnum() else x for x in a) for a in ABBREVIATIONS)
+    parts = F.split(c, rf"(?U)(?<=[.!?])(?<!{abbreviated})\s+|[\r\n\x0b\x0c\x1c-\x1e\x85\u2028\u2029]+")
+    return F.slice(F.filter(F.transform(parts, lambda p: truncate(p, limit)), lambda p: p != ""), 1, most)
 
 
 def outcome(output: Column, finish_reason: Column, timed_out: Column, failed: Column) -> Column:

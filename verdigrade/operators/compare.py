@@ -53,21 +53,40 @@ def delta_interval(pairs: DataFrame, resamples: int = 10_000, seed: int = 0) ->
     return counts.groupBy(F.lit(0).alias("one")).applyInPandas(lambda pdf: each(pdf), "delta double, ci_low double, ci_high double")
 
 
-def bca_counts(counts: dict[int, int], resamples: int, seed: int, confidence: float = 0.95) -> tuple[float, float]:
-    """bca_bootstrap of the mean of a sample given as value: count, without spelling the sample out."""
+#: Values of a sample beyond which they are put into as many bins of equal counts, and draws made at a time.
+BINS, DRAWS = 4096, 256
+
+
+def bca_counts(counts: dict[float, int], resamples: int, seed: int, confidence: float = 0.95, spread: dict[float, float] | None = None, moments: tuple[float, float] | None = None) -> tuple[float, float]:
+    """bca_bootstrap of the mean of a sample given as value: count, without spelling the sample out.
+
+    Where values are means of bins, spread is the variance within each and moments are the sums of squares and
+    cubes of the whole sample; the sum of the draws from a bin is then normal about its mean.
+    """
     import numpy as np
     from statistics import NormalDist
 
-    v, c = np.array(list(counts), float), np.array(list(counts.values()), float)
+    order = sorted(counts)
+    v, c = np.array(order, float), np.array([counts[x] for x in order], float)
     n = c.sum()
     seen = float((v * c).sum() / n)
     if n < 2 or np.count_nonzero(c) < 2:
         return seen, seen
-    draws = np.random.default_rng(seed).multinomial(int(n), c / n, resamples) @ v / n
+    random, parts = np.random.default_rng(seed), []
+    within = np.array([spread[x] for x in order], float) if spread else None
+    for start in range(0, resamples, DRAWS):
+        drawn = random.multinomial(int(n), c / n, min(DRAWS, resamples - start))
+        means = drawn @ v / n
+        parts.append(means if within is None else means + random.normal(size=len(means)) * np.sqrt(drawn @ within) / n)
+    draws = np.concatenate(parts)
     share = (np.count_nonzero(draws < seen - 1e-15) + np.count_nonzero(draws <= seen + 1e-15)) / (2 * resamples)
     z0 = NormalDist().inv_cdf(min(max(share, 1e-12), 1 - 1e-12))
-    u = (v - seen) / (n - 1)
-    a = float((c * u**3).sum() / (6 * (c * u**2).sum() ** 1.5))
+    if moments:
+        two = moments[0] - n * seen**2
+        three = moments[1] - 3 * seen * moments[0] + 2 * n * seen**3
+    else:
+        two, three = (c * (v - seen) ** 2).sum(), (c * (v - seen) ** 3).sum()
+    a = float(three / (6 * two**1.5))
     out = []
     for q in ((1 - confidence) / 2, 1 - (1 - confidence) / 2):
         w = z0 + NormalDist().inv_cdf(q)
@@ -77,12 +96,28 @@ def bca_counts(counts: dict[int, int], resamples: int, seed: int, confidence: fl
 
 
 def interval(values: DataFrame, value: str, resamples: int = 10_000, seed: int = 0) -> DataFrame:
-    """(mean, ci_low, ci_high) of a metric by BCa over its distinct values and counts; nulls are left out."""
-    counts = values.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    """(mean, ci_low, ci_high) of a metric by BCa over its distinct values and counts; nulls and NaN are left out.
+
+    More than BINS distinct values reach the task as so many bins of equal counts, with what varies within.
+    """
+    x = F.col(value).cast("double")
+    counts = values.where(x.isNotNull() & ~F.isnan(x)).groupBy(x.alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    ranked = running(counts.withColumn("one", F.lit(1).cast("bigint")), "v", ["n", "one"])
+    totals = ranked.agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("distinct"))
+    place = F.when(F.col("distinct") <= BINS, F.col("run_one")).otherwise(F.floor((F.col("run_n") - F.col("n")) * F.lit(BINS) / F.col("all")))
+    sums = [F.sum(F.col("n") * F.pow("v", F.lit(k))).alias(f"s{k}") for k in (1, 2, 3)]
+    counts = ranked.crossJoin(F.broadcast(totals)).groupBy(place.alias("bin")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("m"), *sums)  # at most BINS rows
 
     def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = bca_counts(dict(zip(pdf["v"], pdf["n"])), resamples, seed) if len(pdf) > 1 else bca_bootstrap([float(pdf["v"].iloc[0])])
-        return pd.DataFrame({"mean": [float((pdf["v"] * pdf["n"]).sum() / pdf["n"].sum())], "ci_low": [lo], "ci_high": [hi]})
+        pdf = pdf.sort_values("bin")
+        n, mean = pdf["n"].sum(), float(pdf["s1"].sum() / pdf["n"].sum())
+        if len(pdf) == 1 and pdf["m"].iloc[0] == 1:
+            lo, hi = bca_bootstrap([mean])
+        else:
+            v = (pdf["s1"] / pdf["n"]).tolist()
+            spread = dict(zip(v, (pdf["s2"] / pdf["n"] - (pdf["s1"] / pdf["n"]) ** 2).clip(lower=0).where(pdf["m"] > 1, 0.0))) if (pdf["m"] > 1).any() else None
+            lo, hi = bca_counts(dict(zip(v, pdf["n"])), resamples, seed, spread=spread, moments=(float(pdf["s2"].sum()), float(pdf["s3"].sum())) if spread else None)
+        return pd.DataFrame({"mean": [mean], "ci_low": [lo], "ci_high": [hi]})
 
     return counts.groupBy(F.lit(0).alias("one")).applyInPandas(lambda pdf: each(pdf), "mean double, ci_low double, ci_high double")
 

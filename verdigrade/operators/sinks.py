@@ -34,10 +34,24 @@ def without(existing: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFram
     return existing.join(keys.select(*on).distinct(), list(on), "left_anti")
 
 
+#: Partitions of a batch up to which they are named to the reader of a table.
+MOST_PARTITIONS = 1000
+
+
 def append_first_wins(spark: SparkSession, path: str, incoming: DataFrame, keys: Sequence[str], partition_by: Sequence[str] = ()) -> None:
-    """Appends the rows with new keys to a Parquet table. One writer a table at a time."""
+    """Appends the rows with new keys to a Parquet table. One writer a table at a time.
+
+    A partitioned table's keys hold its partition columns, so only the partitions that the incoming rows touch
+    are read; a batch that touches more than MOST_PARTITIONS is held against the whole table.
+    """
     if _exists(spark, path):
-        incoming = new_rows(spark.read.parquet(path), incoming, keys)
+        existing = spark.read.parquet(path)
+        for column in partition_by if set(partition_by) <= set(keys) else ():
+            touched = [r[0] for r in incoming.select(column).distinct().limit(MOST_PARTITIONS + 1).collect()]
+            if len(touched) <= MOST_PARTITIONS:
+                known = F.col(column).isin(*[x for x in touched if x is not None])
+                existing = existing.where(known | F.col(column).isNull() if None in touched else known)
+        incoming = new_rows(existing, incoming, keys)
     else:
         incoming = incoming.dropDuplicates(list(keys))
     writer = incoming.write.mode("append")
@@ -48,7 +62,7 @@ def upsert_partitions(spark: SparkSession, path: str, incoming: DataFrame, keys:
     """Replaces rows by key in a Parquet table, rewriting only the partitions that incoming rows touch."""
     out = incoming
     if _exists(spark, path):
-        touched = spark.read.parquet(path).join(F.broadcast(incoming.select(partition).distinct()), partition, "left_semi")
+        touched = spark.read.parquet(path).join(incoming.select(partition).distinct(), partition, "left_semi")
         out = last_wins(touched.select(*incoming.columns), incoming, keys)
         staged = f"{path}.staged"
         out.write.mode("overwrite").partitionBy(partition).parquet(staged)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigrade.functions import metrics as m
@@ -208,14 +208,30 @@ def connected_components(spark: SparkSession, d: str) -> DataFrame:
 # Retrieval: vectors whose id is divisible by 20 against all; those of the same label are relevant, with gain 1 to 3.
 
 
+RANKED = range(1, 21)
+
+
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
+    """(query_id, rank, qrels, n_relevant): qrels hold what is relevant among the 20 found and, under other names, as many of the best others as a rank could hold."""
     e = table(spark, d, "embeddings")
     near = vectors.nearest(e.where("vec_id % 20 = 0"), e, 20)
     per = near.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "vec_id"))), lambda x: x["vec_id"].cast("string")).alias("rank"))  # 20 a query
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    rel = e.select("label", F.struct(F.col("vec_id").cast("string").alias("k"), (1 + F.col("vec_id") % 3).cast("int").alias("g")).alias("x"), "vec_id")
-    gains = q.join(rel, "label").where("vec_id <> query_id").groupBy("query_id").agg(F.map_from_entries(F.collect_list("x")).alias("qrels"))
-    return per.join(gains, "query_id")
+    gain = (1 + F.col("vec_id") % 3).cast("int")
+    labels = e.groupBy("label").agg(*(F.count_if(gain == g).alias(f"n{g}") for g in (1, 2, 3)))  # what is relevant is counted, not listed
+    found = near.join(e.select("vec_id", F.col("label").alias("of")), "vec_id").join(q, "query_id").where("of = label")
+    ranked = found.groupBy("query_id").agg(F.collect_list(F.struct(F.col("vec_id").cast("string").alias("k"), gain.alias("g"))).alias("x"), *(F.count_if(gain == g).alias(f"r{g}") for g in (1, 2, 3)))  # 20 a query
+    both = q.join(labels, "label").join(ranked, "query_id", "left").na.fill(0)
+    own = (1 + F.col("query_id") % 3).cast("int")
+    missed = lambda g: F.col(f"n{g}") - F.col(f"r{g}") - (own == g).cast("int")
+
+    def listed(g: int) -> Column:
+        return F.transform(F.slice(F.array(*(F.lit(str(i)) for i in RANKED)), F.lit(1), F.least(missed(g), F.lit(len(RANKED))).cast("int")), lambda i: F.struct(F.concat(F.lit(f"missed {g} "), i).alias("k"), F.lit(g).alias("g")))
+
+    others = [listed(g) for g in (3, 2, 1)]
+    qrels = F.map_from_entries(F.concat(F.coalesce("x", F.array().cast("array<struct<k:string,g:int>>")), *others))
+    n_relevant = F.col("n1") + F.col("n2") + F.col("n3") - 1
+    return per.join(both.where(n_relevant > 0).select("query_id", qrels.alias("qrels"), n_relevant.alias("n_relevant")), "query_id")
 
 
 def nearest_neighbours(spark: SparkSession, d: str) -> DataFrame:
@@ -223,18 +239,22 @@ def nearest_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return vectors.nearest(e.where("vec_id % 20 = 0"), e, 20).select("query_id", "vec_id", F.round("cosine", 9).alias("cosine"), "place")
 
 
-def _ranking_metric(f):
+def _ranking_metric(f, of_all: bool = False):
+    """of_all: the value is a share of all that is relevant, not of what qrels list."""
+
     def query(spark: SparkSession, d: str) -> DataFrame:
-        return _ranked(spark, d).select("query_id", F.round(f(F.col("rank"), F.col("qrels")), 9).alias("value"))
+        value = f(F.col("rank"), F.col("qrels"))
+        value = value * F.size("qrels") / F.col("n_relevant") if of_all else value
+        return _ranked(spark, d).select("query_id", F.round(value, 9).alias("value"))
 
     return query
 
 
 ndcg_at_10 = _ranking_metric(m.ndcg_at)
 precision_at_k = _ranking_metric(m.precision_at)
-recall_at_20 = _ranking_metric(lambda r, q: m.recall_at(r, q, 20))
+recall_at_20 = _ranking_metric(lambda r, q: m.recall_at(r, q, 20), True)
 mrr = _ranking_metric(m.reciprocal_rank)
-map = _ranking_metric(m.average_precision)
+map = _ranking_metric(m.average_precision, True)
 
 
 def cosine_max_reference(spark: SparkSession, d: str) -> DataFrame:
@@ -255,14 +275,14 @@ def claim_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def context_precision_recall(spark: SparkSession, d: str) -> DataFrame:
-    r = _ranked(spark, d).select("query_id", "rank", F.map_keys("qrels").alias("relevant"))
-    return rag.context_scores(r, "rank", "relevant").agg(F.count(F.lit(1)).alias("n"), F.avg("context_precision").alias("context_precision"), F.avg("context_recall").alias("context_recall"))
+    r = _ranked(spark, d).select("query_id", "rank", F.map_keys("qrels").alias("relevant"), "n_relevant")
+    return rag.context_scores(r, "rank", "relevant").agg(F.count(F.lit(1)).alias("n"), F.avg("context_precision").alias("context_precision"), F.avg(F.col("context_recall") * F.size("relevant") / F.col("n_relevant")).alias("context_recall"))
 
 
 def _entailments(spark: SparkSession, d: str) -> DataFrame:
     """Claims of candidates against their case's reference: one that holds the reference's text entails."""
     c = v.cand(spark, d).where("reference is not null and reference <> ''")
-    return c.select("generation_id", "reference", F.posexplode(t.claims(F.col("candidate_text"))).alias("claim_index", "claim")).withColumn("label", F.when(F.contains("claim", F.left("reference", F.lit(280))), "entailment").otherwise("neutral"))
+    return c.select("generation_id", "reference", F.posexplode(t.claims(F.col("candidate_text"))).alias("claim_index", "claim")).withColumn("label", F.when(F.contains("claim", "reference"), "entailment").otherwise("neutral"))
 
 
 def unsupported_claim_rate(spark: SparkSession, d: str) -> DataFrame:
@@ -395,7 +415,7 @@ SELECT n::BIGINT AS n, h / n AS accuracy, ba AS balanced_accuracy, mf AS macro_f
     "centroid_similarity": "WITH u AS (SELECT vec_id, label, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE AS x, list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) AS nn FROM embeddings), c AS (SELECT label, i, avg(x / sqrt(nn)) AS c FROM u GROUP BY 1, 2) SELECT vec_id, round(sum(x * c) / sqrt(sum(x * x) * sum(c * c)), 9) AS value FROM u JOIN c USING (label, i) GROUP BY 1",
     "claim_split": f"{_CLAIMS} SELECT generation_id, count(*) AS n_claims, sum(len(claim))::BIGINT AS n_chars FROM cl GROUP BY 1",
     "context_precision_recall": f"{_NEAR}, s AS (SELECT query_id, count(*) FILTER (hit) / count(*)::DOUBLE AS p, count(*) FILTER (hit) / max(total)::DOUBLE AS r FROM x GROUP BY 1) SELECT count(*) AS n, avg(p) AS context_precision, avg(r) AS context_recall FROM s",
-    "unsupported_claim_rate": f"{_CLAIMS} SELECT count(*) AS n_claims, avg((NOT contains(claim, reference[1:280]))::INT) AS unsupported_rate FROM cl WHERE reference IS NOT NULL AND reference <> ''",
+    "unsupported_claim_rate": f"{_CLAIMS} SELECT count(*) AS n_claims, avg((NOT contains(claim, reference))::INT) AS unsupported_rate FROM cl WHERE reference IS NOT NULL AND reference <> ''",
     "citation_attribution": f"WITH {CAND_SQL}, {JUDGE_SQL} SELECT count(*) AS n_citations, avg((c.generation_id IS NOT NULL AND (coalesce(j.score >= 4, false) OR coalesce(c.source IS NOT NULL AND len(j.generation_id) % 2 = 1, false)))::INT) AS attribution FROM judged j LEFT JOIN cand c USING (generation_id) WHERE j.generation_id IS NOT NULL",
     "redact_secrets": f"{_C}, s AS (SELECT generation_id, {_RED} AS x FROM cand WHERE case_id IS NOT NULL) SELECT generation_id, CASE WHEN len(x) <= 240 THEN x ELSE x[1:239] || '…' END AS clean FROM s",
     "truncate_text": f"SELECT doc_id, len({_TRUNC})::INT AS n, ({_TRUNC})[1:40] AS head FROM documents",

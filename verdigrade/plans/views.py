@@ -30,8 +30,13 @@ LABEL_SQL = f"""labels AS (SELECT label_id, rubric_name, rubric_version, {_K.for
 
 
 def _first(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """The earliest delivery of each key. Columns are aggregated one by one, so those a query doesn't use are neither read nor shuffled."""
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(*(F.min_by(c, "loaded_at").alias(c) for c in columns if c != key))
+    """The earliest delivery of each key, of equally early ones one.
+
+    Columns are aggregated one by one, so those a query doesn't use are neither read nor shuffled; all are taken
+    from the row that comes first by time and by its number, which no other row has.
+    """
+    rows = df.where(F.col(key).isNotNull()).withColumn("_first", F.struct("loaded_at", F.monotonically_increasing_id().alias("row")))
+    return rows.groupBy(key).agg(*(F.min_by(c, "_first").alias(c) for c in columns if c != key))
 
 
 def gen(spark: SparkSession, d: str) -> DataFrame:
