@@ -3,6 +3,7 @@
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,3 +129,54 @@ def test_levenshtein_of_raw_texts(spark, tmp_path, monkeypatch):
 
     got = {r.example_id: r.value for r in plans.QUERIES["normalized_levenshtein_raw"](spark, "").collect()}
     assert got == {i: pytest.approx(brute(a, b)) if a is not None else None for i, (a, b) in enumerate(texts)}
+
+
+def test_tokens_13a():
+    assert m.tokens_13a("It costs 3.14, e.g. in the U.S.; well-known &amp; cheap") == ["It", "costs", "3.14", ",", "e", ".", "g", ".", "in", "the", "U", ".", "S", ".", ";", "well-known", "&", "cheap"]
+    assert m.tokens_13a("in 1990-95 a\nline -\nbreak") == ["in", "1990", "-", "95", "a", "line", "break"] and m.tokens_13a("") == []
+
+
+def test_chrf_averages_precision_and_recall(spark):
+    """By hand: of 'ab c' against 'ab d', orders 1 and 2 of characters, 1 and 2 of words and order 3 of characters exist on both sides."""
+    df = spark.createDataFrame([("ab c", "ab d"), ("same text here", "same text here"), ("", "x"), ("x", None)], "o string, r string")
+    got = [r[0] for r in df.select(m.chrf_pp(F.col("o"), F.col("r"))).collect()]
+    p = (2 / 3 + 1 / 2 + 0 + 1 / 2 + 0) / 5
+    assert got[0] == pytest.approx(p) and got[1] == pytest.approx(1.0) and got[2] == 0.0 and got[3] is None
+    assert m._chrf_words('He said: "no." (yes)') == ["He", "said", ":", '"no.', '"', "(yes", ")"]
+
+
+def test_exact_match_keeps_an_empty_reference(spark):
+    from verdigrade import pipeline
+
+    rows = spark.createDataFrame([("a", "", ["x"], ""), ("b", None, ["x"], "x"), ("c", "y", ["x"], "x"), ("d", None, None, "x")], "id string, reference_answer string, references array<string>, output string")
+    got = {(r.id, r.metric): r.value for r in pipeline.score(rows, ["exact_match", "squad_f1"]).collect()}
+    assert [got[i, "exact_match"] for i in "abcd"] == [1.0, 1.0, 0.0, None] and got["a", "squad_f1"] == 0.0
+
+
+def test_json_validity_looks_at_the_schema(spark):
+    from verdigrade import pipeline
+
+    rows = spark.createDataFrame([("a", '{"x": 1}', '{"type": "object", "required": ["x"]}'), ("b", "{}", '{"required": ["x"]}'), ("c", "{}", None), ("d", "{", None)], "id string, output string, json_schema string").withColumn("task_type", F.lit("extraction"))
+    assert {r.id: r.value for r in pipeline.score(rows, ["json_validity"]).collect()} == {"a": 1.0, "b": 0.0, "c": 1.0, "d": 0.0}
+
+
+def test_corpus_bleu_and_rates_are_aggregates_of_their_own(spark):
+    from verdigrade import pipeline
+
+    cases = spark.createDataFrame([("1", "the cat is on the mat now", {"d": "a"}, "qa_short"), ("2", "one two three four five six", {"d": "b"}, "qa_short")], "id string, reference_answer string, slices map<string,string>, task_type string")
+    g = spark.createDataFrame([("r", "1", 0, "the cat is on the mat now"), ("r", "2", 0, "one two three four five seven")], "run_id string, case_id string, repeat_idx int, output string")
+    names = ["exact_match", "sacrebleu"]
+    scored = pipeline.score(g.join(cases.withColumnRenamed("id", "case_id"), "case_id"), names)
+    got = {(r.metric, r.slice): r for r in pipeline.aggregates(scored, g, cases, names).collect()}
+    p = [12 / 13, 10 / 11, 8 / 9, 6 / 7]
+    assert got["sacrebleu", "__overall__"].value == pytest.approx(float(np.exp(np.mean(np.log(p))))) and got["sacrebleu", "d=a"].value == pytest.approx(1.0) and got["sacrebleu", "d=a"].ci_low is None
+    assert got["exact_match", "__overall__"].value == 0.5 and got["exact_match", "__overall__"].stddev is None and got["exact_match", "d=b"].n == 1
+
+
+def test_an_empty_slice_of_a_rate_has_no_interval(spark):
+    from verdigrade.operators import rollup
+
+    rows = spark.createDataFrame([("r", m_, {"d": "a"}, None, 1.0) for m_ in ("exact_match", "rouge_l")], "run_id string, metric string, slices map<string,string>, value double, threshold double")
+    dims = spark.createDataFrame([("d", 1)], "dimension string, n_values int")
+    got = {(r.metric, r.slice): (r.n, r.value, r.ci_low, r.stddev) for r in rollup.score_rollup(rows, ["run_id", "metric"], dims, rates=("exact_match",)).collect()}
+    assert got["exact_match", "d=a"] == (0, 0.0, None, None) and got["rouge_l", "d=a"] == (0, 0.0, 0.0, None)

@@ -175,3 +175,27 @@ def test_slices_of_more_than_10000_dimensions(spark):
     df = spark.range(10_050).select(F.lit("r").alias("run"), F.create_map(F.concat(F.lit("d"), F.col("id").cast("string")), F.lit("x")).alias("slices"))
     got = rollup.by_slice(df, "slices", rollup.kept_dimensions(df), [F.count(F.lit(1)).alias("n")], ["run"])
     assert got.count() == 10_051
+
+
+def test_fields_follow_the_task_and_each_text_is_bounded(spark):
+    rows = [("1", "retrieval", None, {"d1": 1}, {"q": "x" * 1500, "r": "y" * 1500}), ("2", "retrieval", "answer", None, {"q": "x"}), ("3", "qa_short", "a", None, {"q": "x" * 2001}), ("4", "rag", "a", None, {"q": 'say "' + "z" * 1990}), ("5", "generation", None, None, {"q": "x"})]
+    cases = spark.createDataFrame(rows, "id string, task_type string, reference_answer string, qrels map<string,int>, inputs map<string,string>").withColumns({"weight": F.lit(1.0), "slices": F.create_map().cast("map<string,string>")})
+    rules = validate.case_rules(F.to_json("inputs"), F.col("reference_answer"), F.col("weight"), F.col("slices"), F.col("task_type"), [], needed=validate.missing_fields(cases), texts=validate.json_texts("inputs"))
+    assert {(r.rule, r.case_id) for r in validate.breaches(cases, "id", rules).collect()} == {("no_reference", "2"), ("no_reference", "4"), ("inputs_too_long", "3")}
+
+
+def test_get_or_create(spark, tmp_path):
+    path, row = str(tmp_path / "datasets"), {"name": "d", "version": "1", "content_sha256": "x", "id": 7}
+    assert sinks.get_or_create(spark, path, row, ["name", "version"], "content_sha256") == row
+    assert sinks.get_or_create(spark, path, row | {"id": 8}, ["name", "version"], "content_sha256")["id"] == 7
+    with pytest.raises(ValueError):
+        sinks.get_or_create(spark, path, row | {"content_sha256": "y"}, ["name", "version"], "content_sha256")
+    sinks.get_or_create(spark, path, row | {"version": "2", "content_sha256": "y"}, ["name", "version"], "content_sha256")
+    assert spark.read.parquet(path).count() == 2
+
+
+def test_batches_read_the_partitions_they_touch(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for rows in ([(1, "a", 1), (2, "b", 1)], [(1, "a", 2), (3, "b", 2), (4, None, 2)], [(4, None, 3), (5, "c", 3)]):
+        sinks.append_first_wins(spark, path, spark.createDataFrame(rows, "id int, day string, v int"), ["id", "day"], ["day"])
+    assert {(r.id, r.day): r.v for r in spark.read.parquet(path).collect()} == {(1, "a"): 1, (2, "b"): 1, (3, "b"): 2, (4, None): 2, (5, "c"): 3}

@@ -112,3 +112,46 @@ def test_stream_equals_batch(spark, tmp_path):
     seen = base.where("event_id < 120").unionByName(base.where("event_id >= 100")).withColumn("ts", F.col("ts").cast("timestamp"))
     want = monitor.tumbling_counts(seen, "1 hour").select("start", "n")
     assert sorted(map(tuple, last.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_answers_are_kept_for_later_runs(spark, tmp_path):
+    from verdigrade import pipeline
+
+    log = str(tmp_path / "calls")
+
+    def call(endpoint, prompt):
+        with open(log, "a") as f:
+            f.write(prompt + "\n")
+        return {"output": "A" + prompt, "finish_reason": "stop"}
+
+    cases = spark.createDataFrame([("1", {"q": "x"}), ("2", {"q": "y"})], "id string, inputs map<string,string>")
+    cold, warm = pv.Endpoint("http://x", "m"), pv.Endpoint("http://x", "m", params={"temperature": 0.7})
+    store, n = str(tmp_path / "s"), lambda: sum(1 for _ in open(log))
+    pipeline.run(spark, store, cases, "{{ q }}", 1, cold, run_id="a", partitions=1, call=call, cached=True)
+    assert n() == 2
+    pipeline.run(spark, store, cases, "{{ q }}", 1, cold, run_id="b", partitions=1, call=call, cached=True)
+    assert n() == 2
+    pipeline.run(spark, store, cases, "{{ q }}", 1, warm, run_id="c", partitions=1, call=call, cached=True)
+    assert n() == 4
+    rows = spark.read.parquet(f"{store}/generations").groupBy("run_id").agg({"output": "min", "attempts": "sum"}).collect()
+    assert {r.run_id: (r["min(output)"], r["sum(attempts)"]) for r in rows} == {"a": ("Ax", 2), "b": ("Ax", 0), "c": ("Ax", 2)}
+
+
+def test_refusals_of_a_server_are_final_and_waits_are_heeded(monkeypatch):
+    import urllib.error
+
+    waits, asked = [], []
+    monkeypatch.setattr(pv.time, "sleep", waits.append)
+
+    def answer(code, headers):
+        def call(endpoint, prompt):
+            asked.append(code)
+            raise urllib.error.HTTPError("u", code, "no", headers, None)
+
+        return call
+
+    e = pv.Endpoint("u", "m")
+    for code, headers, tries, slept in ((400, {}, 1, []), (429, {"Retry-After": "7"}, 3, [7.0, 7.0]), (503, {"Retry-After": "soon"}, 3, None)):
+        waits.clear(), asked.clear()
+        got = pv._attempts(e, "p", pv.TokenBucket(600), pv.CircuitBreaker(), answer(code, headers))
+        assert got["outcome"] == "harness_error" and len(asked) == tries and (slept is None or waits == slept)

@@ -14,7 +14,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +38,11 @@ def reference(answer: Column, references: Column | None = None) -> Column:
     return F.coalesce(F.nullif(answer, F.lit("")), first)
 
 
+def given_reference(answer: Column, references: Column, ref: Column) -> Column:
+    """The reference answer as it stands, an empty one too; only a missing one gives way to the first of the references."""
+    return F.coalesce(answer, F.try_element_at(references, F.lit(1)), ref)
+
+
 def exact_match(output: Column, ref: Column) -> Column:
     return _one(normalized(output) == normalized(ref))
 
@@ -275,28 +280,68 @@ def rouge(output: pd.Series, ref: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["rouge_1", "rouge_2", "rouge_l"])
 
 
+_PUNCTUATION = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+
+
+def _chrf_words(text: str) -> list[str]:
+    """Words at white space, a punctuation sign at a word's end, or else at its beginning, being one of its own."""
+    out: list[str] = []
+    for w in text.split():
+        if len(w) > 1 and w[-1] in _PUNCTUATION:
+            out += [w[:-1], w[-1]]
+        elif len(w) > 1 and w[0] in _PUNCTUATION:
+            out += [w[0], w[1:]]
+        else:
+            out.append(w)
+    return out
+
+
 @F.pandas_udf(T.DoubleType())
 def chrf_pp(output: pd.Series, ref: pd.Series) -> pd.Series:
-    """chrF++ : F2 of character n-grams 1..6 without white space and word n-grams 1..2, averaged over the orders both sides have."""
+    """chrF++ : F2 of precision and recall, each averaged over the orders that both sides have of character n-grams 1..6 without white space and word n-grams 1..2."""
 
     def one(o: str | None, r: str | None) -> float | None:
         if o is None or r is None:
             return None
-        chars, words = ("".join(o.split()), "".join(r.split())), tuple(re.findall(r"\w+|[^\w\s]", t) for t in (o, r))
-        scores = []
-        for (x, y), orders in ((chars, range(1, 7)), (words, range(1, 3))):
-            for n in orders:
+        sides = [("".join(o.split()), "".join(r.split()), 6), (_chrf_words(o), _chrf_words(r), 2)]
+        found = []
+        for x, y, most in sides:
+            for n in range(1, most + 1):
                 a, b = _grams(x, n), _grams(y, n)
-                if not a and not b:
-                    continue
-                hit = (a & b).total()
-                p, q = hit / a.total() if a else 0.0, hit / b.total() if b else 0.0
-                scores.append(5 * p * q / (4 * p + q) if p + q else 0.0)
-        return sum(scores) / len(scores) if scores else 0.0
+                if a and b:
+                    hit = (a & b).total()
+                    found.append((hit / a.total(), hit / b.total()))
+        if not found:
+            return 0.0
+        p, q = (sum(x) / len(found) for x in zip(*found))
+        return 5 * p * q / (4 * p + q) if p + q else 0.0
 
     return pd.Series([one(o, r) for o, r in zip(output, ref)], dtype=object)
 
 
+# The steps of the tokenization 13a, each a pattern and what it becomes.
+TOKENS_13A = (
+    (r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", r" \1 "),
+    (r"([^0-9])([\.,])", r"\1 \2 "),
+    (r"([\.,])([^0-9])", r" \1 \2"),
+    (r"([0-9])(-)", r"\1 \2 "),
+)
+UNESCAPED_13A = (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"))
+_STEPS_13A = tuple((re.compile(a), b) for a, b in TOKENS_13A)
+
+
+def tokens_13a(text: str) -> list[str]:
+    """The words and signs of a text by the rules 13a, which published BLEU scores are stated by."""
+    line = text.rstrip().replace("<skipped>", "").replace("-\n", "").replace("\n", " ")
+    if "&" in line:
+        for a, b in UNESCAPED_13A:
+            line = line.replace(a, b)
+    line = f" {line} "
+    for pattern, becomes in _STEPS_13A:
+        line = pattern.sub(becomes, line)
+    return line.split()
+
+
 BLEU_STATS = (*(f"hit_{n}" for n in range(1, 5)), *(f"all_{n}" for n in range(1, 5)), "n_output", "n_reference")
 
 
@@ -305,7 +350,7 @@ def bleu_stats(output: pd.Series, ref: pd.Series) -> pd.DataFrame:
     """The ten sums of which corpus BLEU is made; they add up over rows, so a corpus needs one aggregation."""
     rows = []
     for o, r in zip(output, ref):
-        a, b = (re.findall(r"\w+|[^\w\s]", t or "") for t in (o, r))
+        a, b = tokens_13a(o or ""), tokens_13a(r or "")
         hits, total = [], []
         for n in range(1, 5):
             x, y = _grams(a, n), _grams(b, n)
@@ -381,6 +426,14 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))))
 
 
+def corpus_bleu(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys..., n, value): BLEU of each group's texts as one corpus, from sums; rows without output or reference are left out."""
+    whole = F.col("output").isNotNull() & F.col("reference").isNotNull()
+    stats = rows.select(*keys, F.when(whole, 1).alias("one"), bleu_stats(F.col("output"), F.col("reference")).alias("s"))
+    sums = stats.groupBy(*keys).agg(F.count("one").alias("n"), *(F.coalesce(F.sum(F.when(F.col("one") == 1, F.col(f"s.{c}"))), F.lit(0)).alias(c) for c in BLEU_STATS))
+    return sums.select(*keys, "n", F.coalesce(bleu_of({c: F.col(c) for c in BLEU_STATS}), F.lit(0.0)).alias("value"))
+
+
 @dataclass(frozen=True)
 class Metric:
     """A named score of one output; build takes the columns it names in needs."""
@@ -393,6 +446,9 @@ class Metric:
     family: str = "lexical"
     version: str = "1.0.0"
     config: Mapping = field(default_factory=dict)
+    #: How scored rows become aggregates: mean (with Wilson interval), rate (an empty slice has no interval, no slice a deviation) or
+    #: a function of the frame (keys..., slice, and the columns of needs) and the keys that gives (keys..., slice, n, value).
+    aggregate: str | Callable[[DataFrame, Sequence[str]], DataFrame] = "mean"
 
     def value(self) -> Column:
         return self.build(*(F.col(c) for c in self.needs))
@@ -425,12 +481,12 @@ class Registry:
 _EVERY = frozenset({"retrieval", "rag"})
 REGISTRY = Registry()
 for _m in (
-    Metric("exact_match", exact_match, threshold=1.0),
+    Metric("exact_match", lambda o, a, refs, r: exact_match(o, given_reference(a, refs, r)), ("output", "reference_answer", "references", "reference"), 1.0, aggregate="rate"),
     Metric("squad_f1", squad_f1),
     Metric("normalized_levenshtein", levenshtein_similarity, threshold=0.8),
     Metric("assertions", assertions, ("output", "must_contain", "must_not_contain"), 1.0),
     Metric("numeric_assertion", numeric_assertion, threshold=1.0),
-    Metric("json_validity", json_validity, ("output",), 1.0, frozenset({"extraction", "generation", "tool_use"}), "structured"),
+    Metric("json_validity", lambda o, s: json_schema_validity(o, s), ("output", "json_schema"), 1.0, frozenset({"extraction", "generation", "tool_use"}), "structured"),
     Metric("json_field_f1", json_field_f1, ("output", "expected_json"), 0.5, frozenset({"extraction", "generation"}), "structured"),
     Metric("classification", classification, ("output", "expected_label"), 1.0, frozenset({"classification"}), "classification"),
     Metric("retrieval_ndcg_10", lambda o, q: ndcg_at(ranking(o), q), ("output", "qrels"), 0.0, _EVERY, "retrieval"),
@@ -439,7 +495,7 @@ for _m in (
     Metric("retrieval_map", lambda o, q: average_precision(ranking(o), q), ("output", "qrels"), 0.0, _EVERY, "retrieval"),
     Metric("rouge_l", lambda o, r: rouge(o, r)["rouge_l"], family="overlap"),
     Metric("chrf_pp", chrf_pp, family="overlap"),
-    Metric("sacrebleu", lambda o, r: (lambda s: bleu_of({k: s[k] for k in BLEU_STATS}, smooth=True))(bleu_stats(o, r)), family="overlap"),
+    Metric("sacrebleu", lambda o, r: (lambda s: bleu_of({k: s[k] for k in BLEU_STATS}, smooth=True))(bleu_stats(o, r)), family="overlap", aggregate=corpus_bleu),
     Metric("meteor", meteor, family="overlap"),
 ):
     REGISTRY.register(_m)

@@ -49,20 +49,34 @@ def score_sums() -> tuple[Column, ...]:
     )
 
 
-def score_rollup(scores: DataFrame, keys: Sequence[str], dimensions: DataFrame, slices: str = "slices") -> DataFrame:
+def score_rollup(scores: DataFrame, keys: Sequence[str], dimensions: DataFrame, slices: str = "slices", rates: Sequence[str] = ()) -> DataFrame:
     """(keys..., slice, n, value, ci_low, ci_high, stddev): mean, interval of the share at or above the threshold, population deviation.
 
     scores: keys, slices, value, threshold. Null values are left out of n; a slice without values has n 0,
-    value 0, interval (0, 0) and no deviation.
+    value 0, interval (0, 0) and no deviation. The metrics in `rates` are shares of right answers: they have
+    no deviation, and no interval where there is no value.
     """
     s = by_slice(scores, slices, dimensions, score_sums(), keys)
     n = F.col("n").cast("double")
     mean = F.coalesce(F.try_divide(F.col("total"), n), F.lit(0.0))
     low, high = wilson(F.col("n_passed"), F.col("n"))
     deviation = F.when(F.col("n") > 0, F.sqrt(F.greatest(F.lit(0.0), F.try_divide(F.col("squares"), n) - mean * mean)))
+    if rates:
+        rate = F.col("metric").isin(*rates)
+        low, high = (F.when(~rate | (F.col("n") > 0), x) for x in (low, high))
+        deviation = F.when(~rate, deviation)
     return s.select(*keys, "slice", "n", mean.alias("value"), low.alias("ci_low"), high.alias("ci_high"), deviation.alias("stddev"))
 
 
+def sliced_rows(rows: DataFrame, slices: str, dimensions: DataFrame) -> DataFrame:
+    """rows with `slice`: each row once overall and once for each value of a kept dimension, for aggregates that don't add up."""
+    entries = F.map_entries(F.coalesce(F.col(slices), F.create_map().cast("map<string,string>")))
+    parts = F.concat(F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit("").alias("value"))), F.transform(entries, lambda e: F.struct(e["key"].alias("key"), F.coalesce(e["value"], F.lit("")).alias("value"))))
+    fanned = rows.withColumn("_e", F.explode(parts)).join(dimensions.select("dimension", F.lit(True).alias("_kept")), F.col("_e.key") == F.col("dimension"), "left")
+    fanned = fanned.where(F.col("_e.key").isNull() | F.col("_kept"))
+    return fanned.withColumn("slice", F.when(F.col("_e.key").isNull(), F.lit(OVERALL)).otherwise(F.concat(F.col("_e.key"), F.lit("="), F.col("_e.value")))).drop("_e", "_kept", "dimension")
+
+
 def confusion(rows: DataFrame, expected: str, predicted: str, keys: Sequence[str] = ()) -> DataFrame:
     """(keys..., expected, predicted, n); rows without either label are left out."""
     return rows.where(F.col(expected).isNotNull() & F.col(predicted).isNotNull()).groupBy(*keys, F.col(expected).alias("expected"), F.col(predicted).alias("predicted")).agg(F.count(F.lit(1)).alias("n"))

@@ -70,6 +70,26 @@ def upsert_partitions(spark: SparkSession, path: str, incoming: DataFrame, keys:
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
+def get_or_create(spark: SparkSession, path: str, row: dict, key: Sequence[str], content: str) -> dict:
+    """The stored row of a key, or the given one, which is then stored.
+
+    A row that is there already must have the same content (a digest column); another content is an error, so
+    that a name and version never mean two things. Tables of this kind (datasets, templates, model versions)
+    are small; one writer a table at a time.
+    """
+    if _exists(spark, path):
+        stored = spark.read.parquet(path).where(F.lit(True))
+        for k in key:
+            stored = stored.where(F.col(k).eqNullSafe(F.lit(row[k])))
+        found = stored.limit(1).collect()
+        if found:
+            if found[0][content] != row[content]:
+                raise ValueError(f"{'@'.join(str(row[k]) for k in key)} exists already with another {content}")
+            return found[0].asDict(recursive=True)
+    spark.createDataFrame([row]).write.mode("append").parquet(path)
+    return row
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)

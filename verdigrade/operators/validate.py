@@ -46,12 +46,35 @@ def repeated(cases: DataFrame, key: Column, case_id: str, rule: str) -> DataFram
     return k.join(many, "k", "left_semi").select(F.lit(rule).alias("rule"), "case_id").distinct()
 
 
-def case_rules(inputs: Column, reference: Column, weight: Column, slices: Column, task: Column, declared: Sequence[str], input_limit: int = 2000, reference_limit: int = 500) -> dict[str, Column]:
+# What a case of each task must have.
+NEEDED = {
+    "classification": ("expected_label",), "extraction": ("expected_json",), "summarization": ("reference_answer",), "qa_short": ("reference_answer",),
+    "retrieval": ("qrels",), "rag": ("reference_answer", "qrels"), "tool_use": ("expected_json",),
+}
+
+
+def missing_fields(cases: DataFrame) -> Column:
+    """Whether a case lacks a field that its task needs; a column that the table doesn't have is lacking everywhere."""
+    lacks = lambda c: F.col(c).isNull() if c in cases.columns else F.lit(True)
+    out = F.lit(False)
+    for task, fields in NEEDED.items():
+        out = F.when(F.col("task_type") == task, F.greatest(*(lacks(c) for c in fields)) if len(fields) > 1 else lacks(fields[0])).otherwise(out)
+    return out
+
+
+def json_texts(inputs: str) -> Column:
+    """All texts of a column of maps, structs, arrays or JSON, however deep: the strings of its JSON, an escape counting as the one character it stands for."""
+    text = F.regexp_replace(F.to_json(F.struct(F.col(inputs).alias("x"))), r"\\u[0-9a-fA-F]{4}|\\.", "x")
+    return F.regexp_extract_all(F.regexp_replace(text, r'"[^"]*+"\s*:', ""), F.lit(r'"([^"]*+)"'), F.lit(1))
+
+
+def case_rules(inputs: Column, reference: Column, weight: Column, slices: Column, task: Column, declared: Sequence[str], input_limit: int = 2000, reference_limit: int = 500, needed: Column | None = None, texts: Column | None = None) -> dict[str, Column]:
+    """The rules of a case. needed: whether a field is missing that its task needs (missing_fields), by default whether it has no reference; texts: the texts of its inputs, each of which is bounded, by default the inputs as one."""
     return {
         "unknown_task": ~task.isin(*TASK_TYPES),
         "no_inputs": inputs.isNull() | (F.btrim(inputs) == ""),
-        "no_reference": reference.isNull() | (reference == ""),
-        "inputs_too_long": F.length(inputs) > input_limit,
+        "no_reference": needed if needed is not None else reference.isNull() | (reference == ""),
+        "inputs_too_long": F.length(inputs) > input_limit if texts is None else F.exists(texts, lambda x: F.length(x) > input_limit),
         "reference_too_long": F.length(reference) > reference_limit,
         "weight_not_positive": weight <= 0,
         "undeclared_slices": F.size(F.array_except(F.array(*(F.lit(x) for x in declared)), F.coalesce(F.map_keys(slices), F.array().cast("array<string>")))) > 0,

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from verdigrade.functions import metrics as m
 from verdigrade.functions import text as t
 from verdigrade.functions.stats import required_sample_size
-from verdigrade.operators import artifacts, calibration, compare, graph, judging, plan, rag, rollup, sinks, validate
+from verdigrade.operators import artifacts, calibration, compare, gates, graph, judging, plan, rag, rollup, sinks, validate
+from verdigrade.session import materialize
 from verdigrade.sources import datasets, providers, schemas
 
 power = required_sample_size
@@ -36,7 +37,7 @@ def dataset_validate(spark: SparkSession, path: str, committed: bool = False, al
     manifest, cases = datasets.read_pack(spark, path)
     errors = validate.manifest_errors(manifest, cases.count(), datasets.content_sha256(spark, f"{path}/cases.jsonl"), committed, allow_holdout)
     reference = F.coalesce("reference_answer", "expected_label", "expected_json", F.try_element_at("references", F.lit(1)))
-    rules = validate.case_rules(F.to_json("inputs"), reference, F.col("weight"), F.col("slices"), F.col("task_type"), list(manifest["slices"]))
+    rules = validate.case_rules(F.to_json("inputs"), reference, F.col("weight"), F.col("slices"), F.col("task_type"), list(manifest["slices"]), needed=validate.missing_fields(cases), texts=validate.json_texts("inputs"))
     if "schema_version" in manifest:
         rules |= validate.versioned_rules(F.col("provenance"), F.col("task_type"), list(manifest["task_metrics"]))
     found = validate.breaches(cases, "id", rules)
@@ -61,8 +62,12 @@ def dataset_materialize(spark: SparkSession, adapter: str, source: str, target:
 # Runs.
 
 
-def run(spark: SparkSession, store: str, cases: DataFrame, template: str, repeats: int, endpoint: providers.Endpoint | None = None, run_id: str | None = None, partitions: int = 8, call: Callable = providers.call_model) -> str:
-    """Generates what a run still lacks and appends it; the same run_id goes on where it stopped. No endpoint: the mock model."""
+def run(spark: SparkSession, store: str, cases: DataFrame, template: str, repeats: int, endpoint: providers.Endpoint | None = None, run_id: str | None = None, partitions: int = 8, call: Callable = providers.call_model, cached: bool = False) -> str:
+    """Generates what a run still lacks and appends it; the same run_id goes on where it stopped. No endpoint: the mock model.
+
+    cached: answers of earlier runs to the same prompt by the same model and parameters are taken again, at
+    temperature 0 only, and new ones are kept for later; attempts is then 0.
+    """
     run_id = run_id or str(uuid.uuid4())
     path = f"{store}/generations"
     done = spark.read.parquet(path).where(F.col("run_id") == run_id) if sinks._exists(spark, path) else spark.createDataFrame([], "case_id string, repeat_idx int")
@@ -71,6 +76,15 @@ def run(spark: SparkSession, store: str, cases: DataFrame, template: str, repeat
     if endpoint is None:
         got = providers.mock_answers(asked, "prompt").withColumns({"finish_reason": F.lit("stop"), "completion_tokens": F.lit(1), "attempts": F.lit(1), "attempt_log": F.lit("[]")})
         got = got.withColumn("outcome", t.outcome(F.col("output"), F.col("finish_reason"), F.lit(False), F.lit(False)))
+    elif cached and providers.cacheable(endpoint):
+        asked = asked.withColumn("cache_key", providers.cache_key(endpoint, F.col("prompt")))
+        place = f"{store}/responses"
+        kept = spark.read.parquet(place) if sinks._exists(spark, place) else spark.createDataFrame([], "cache_key string, output string, outcome string, finish_reason string, prompt_tokens int, completion_tokens int, total_ms double")
+        hits = asked.join(kept, "cache_key").withColumns({"attempts": F.lit(0), "attempt_log": F.lit("[]"), "ttft_ms": F.lit(None).cast("double")})
+        misses = asked.join(kept.select("cache_key"), "cache_key", "left_anti")
+        fresh = materialize(providers.generate(misses.repartition(partitions), "prompt", endpoint, call), "fresh-answers")
+        sinks.append_first_wins(spark, place, fresh.where(~F.col("outcome").startswith("harness_")).select(*kept.columns), ["cache_key"])
+        got = hits.unionByName(fresh.withColumn("ttft_ms", F.lit(None).cast("double")))
     else:
         got = providers.generate(asked.repartition(partitions), "prompt", endpoint, call).withColumn("ttft_ms", F.lit(None).cast("double"))
     columns = ("run_id", "case_id", "repeat_idx", "output", "finish_reason", "outcome", "prompt_tokens", "completion_tokens", "ttft_ms", "total_ms", "attempts", "attempt_log")
@@ -94,7 +108,7 @@ def score(rows: DataFrame, names: Sequence[str], registry: m.Registry = m.REGIST
 
 
 def _with_defaults(rows: DataFrame) -> DataFrame:
-    kinds = {"output": "string", "reference": "string", "reference_answer": "string", "references": "array<string>", "expected_label": "string", "expected_json": "string", "qrels": "map<string,int>", "must_contain": "array<string>", "must_not_contain": "array<string>"}
+    kinds = {"output": "string", "reference": "string", "reference_answer": "string", "references": "array<string>", "expected_label": "string", "expected_json": "string", "qrels": "map<string,int>", "must_contain": "array<string>", "must_not_contain": "array<string>", "json_schema": "string"}
     rows = rows.withColumns({c: F.lit(None).cast(k) for c, k in kinds.items() if c not in rows.columns})
     rows = rows.withColumn("task_type", F.coalesce("task_type", F.lit("qa_short")) if "task_type" in rows.columns else F.lit("qa_short"))
     return rows.withColumn("reference", F.coalesce("reference", m.reference(F.col("reference_answer"), F.col("references"))))
@@ -106,12 +120,24 @@ def rescore(spark: SparkSession, store: str, cases: DataFrame, run_id: str, name
     scored = score(g.join(cases.withColumnRenamed("id", "case_id").drop("output"), "case_id"), names)
     keys = ["run_id", "case_id", "repeat_idx", "metric"]
     sinks.append_first_wins(spark, f"{store}/scores", scored.select(*keys, "value", "passed"), keys)
-    dims = rollup.kept_dimensions(cases)
-    agg = rollup.score_rollup(scored.select("run_id", "metric", "slices", "value", "threshold"), ["run_id", "metric"], dims)
+    agg = aggregates(scored, g, cases, names)
     sinks.upsert_partitions(spark, f"{store}/aggregates", agg, ["run_id", "metric", "slice"], "run_id")
     return spark.read.parquet(f"{store}/aggregates").where(F.col("run_id") == run_id)
 
 
+def aggregates(scored: DataFrame, generations: DataFrame, cases: DataFrame, names: Sequence[str], registry: m.Registry = m.REGISTRY) -> DataFrame:
+    """(run_id, metric, slice, n, value, ci_low, ci_high, stddev): each metric by its own aggregate, overall and by slice."""
+    dims, by = rollup.kept_dimensions(cases), {n: registry.get(n).aggregate for n in names}
+    sums = [n for n in names if not callable(by[n])]
+    out = rollup.score_rollup(scored.where(F.col("metric").isin(*sums)).select("run_id", "metric", "slices", "value", "threshold"), ["run_id", "metric"], dims, rates=[n for n in sums if by[n] == "rate"])
+    for n in (n for n in names if callable(by[n])):
+        rows = _with_defaults(generations.join(cases.withColumnRenamed("id", "case_id").drop("output"), "case_id"))
+        rows = rows.where(F.col("task_type").isin(*registry.get(n).tasks)).select("run_id", "slices", *registry.get(n).needs)
+        own = by[n](rollup.sliced_rows(rows, "slices", dims), ["run_id", "slice"])
+        out = out.unionByName(own.select("run_id", F.lit(n).alias("metric"), "slice", "n", "value", *(F.lit(None).cast("double").alias(c) for c in ("ci_low", "ci_high", "stddev"))))
+    return out
+
+
 def compare_runs(spark: SparkSession, store: str, baseline: str, candidate: str, metric: str) -> dict:
     """The comparison of two runs by one metric, cases that flicker left out."""
     s = spark.read.parquet(f"{store}/scores").where(F.col("metric") == metric)
@@ -328,12 +354,24 @@ def suite_validate(suite: Mapping) -> bool:
     return artifacts.identity({k: v for k, v in suite.items() if k != "suite_digest"}, ["digest"]) == suite["digest"]
 
 
-def gates_check(rows: DataFrame, gates: Mapping[str, tuple[str, str, float, bool]], key: str) -> tuple[DataFrame, DataFrame]:
+def gates_check(rows: DataFrame, bounds: Mapping[str, tuple[str, str, float, bool]], key: str) -> tuple[DataFrame, DataFrame]:
     """(each gate's result, the verdict of each key)."""
-    results = artifacts.evaluate_gates(rows, gates, key)
+    results = artifacts.evaluate_gates(rows, bounds, key)
     return results, artifacts.roll_up(results, key)
 
 
+def gates_from_file(spark: SparkSession, path: str, overrides: Mapping[str, str] | None = None) -> dict:
+    """The evaluation of a policy file: each gate with its reason, and whether a blocking or an informational one fails."""
+    name, policy, found = gates.load(path, overrides)
+    needed = ", ".join(gates.COLUMNS[k] for k in gates.COLUMNS if k in found)
+    row = gates.report_row(found)
+    schema = spark.createDataFrame([], f"key string, {needed}").schema
+    values = [float(v) if isinstance(v, int) and not isinstance(v, bool) and f.dataType.typeName() == "double" else {k: float(x) for k, x in v.items()} if isinstance(v, dict) else v for f in schema.fields[1:] for v in [row[f.name]]]
+    results = [r.asDict() for r in gates.evaluate(spark.createDataFrame([(name, *values)], schema), policy, "key").drop("key").collect()]  # a row a gate
+    soft = any(not r["passed"] and r["severity"] == "informational" for r in results)
+    return {"schema_version": gates.SCHEMA_VERSION, "gates_name": name, "results": results, "blocking_failed": any(r["blocking_failure"] for r in results), "informational_failed": soft}
+
+
 def judge_inputs(spark: SparkSession, kind: str, path: str) -> DataFrame:
     """candidates, pairs, labels, responses, evidence or nli from JSON Lines of the declared schema."""
     schema = {"candidates": schemas.CANDIDATE, "pairs": schemas.PAIR, "labels": schemas.LABEL, "responses": schemas.MOCK_RESPONSE, "evidence": schemas.EVIDENCE, "nli": schemas.NLI}[kind]

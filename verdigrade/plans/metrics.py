@@ -88,7 +88,7 @@ def sacrebleu_corpus(spark: SparkSession, d: str) -> DataFrame:
 
 
 def registry_scores(spark: SparkSession, d: str) -> DataFrame:
-    rows = _pairs(spark, d).select("*", F.array().cast("array<string>").alias("must_contain"), F.array().cast("array<string>").alias("must_not_contain"))
+    rows = _pairs(spark, d).select("*", F.array().cast("array<string>").alias("must_contain"), F.array().cast("array<string>").alias("must_not_contain"), F.lit(None).cast("string").alias("reference_answer"), F.lit(None).cast("array<string>").alias("references"))
     names = ("exact_match", "squad_f1", "numeric_assertion", "assertions")
     wide = rows.select("task_type", *(m.REGISTRY.get(n).value().alias(n) for n in names))
     long = rollup.wide_to_long(wide, ["task_type"], {n: m.REGISTRY.get(n).threshold for n in names})
@@ -333,8 +333,17 @@ def _overlap_sql(n: int) -> str:
 
 
 def _bleu_sql() -> str:
-    tok = r"regexp_extract_all({}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]')"
-    parts, names = [f"p AS (SELECT example_id, task_type, {tok.format('output')} AS o, {tok.format('reference')} AS r FROM gen WHERE output IS NOT NULL AND reference IS NOT NULL)"], []
+    def tok(c: str) -> str:
+        space = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]+"
+        line = f"replace(replace(replace(regexp_replace({c}, '{space}$', ''), '<skipped>', ''), '-' || chr(10), ''), chr(10), ' ')"
+        for a, b in m.UNESCAPED_13A:
+            line = f"replace({line}, '{a}', '{b}')"
+        line = f"' ' || {line} || ' '"
+        for pattern, becomes in m.TOKENS_13A:
+            line = f"regexp_replace({line}, '{pattern}', '{becomes}', 'g')"
+        return f"list_filter(regexp_split_to_array({line}, '{space}'), lambda x: x <> '')"
+
+    parts, names = [f"p AS (SELECT example_id, task_type, {tok('output')} AS o, {tok('reference')} AS r FROM gen WHERE output IS NOT NULL AND reference IS NOT NULL)"], []
     for n in range(1, 5):
         for s in "or":
             parts.append(f"g{s}{n} AS (SELECT example_id, task_type, array_to_string({s}[i:i+{n - 1}], chr(1)) AS g, count(*) AS n FROM (SELECT example_id, task_type, {s}, unnest(range(1, len({s}) - {n - 2})) AS i FROM p WHERE len({s}) >= {n}) GROUP BY 1, 2, 3)")

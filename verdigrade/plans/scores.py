@@ -10,7 +10,7 @@ from verdigrade.operators import compare as cmp
 from verdigrade.operators.ordered import top_rows
 from verdigrade.operators.rollup import by_slice, kept_dimensions, score_rollup
 from verdigrade.plans import views as v
-from verdigrade.plans.views import BASELINE, CANDIDATE, CASES_SQL, GEN_SQL
+from verdigrade.plans.views import BASELINE, CANDIDATE, CASES_SQL, GEN_SQL, JUDGE_SQL, RESP_SQL
 from verdigrade.session import table
 
 FAILED = ("harness_error", "harness_timeout")
@@ -47,7 +47,7 @@ def pass_rate_by_slice(spark: SparkSession, d: str) -> DataFrame:
 
 def slice_rollup_wilson(spark: SparkSession, d: str) -> DataFrame:
     g, dims = _sliced(spark, d)
-    return score_rollup(g.select("run_id", "metric", "slices", F.col("metric_value").alias("value"), F.lit(0.5).alias("threshold")), ["run_id", "metric"], dims)
+    return score_rollup(g.select("run_id", "metric", "slices", F.col("metric_value").alias("value"), F.lit(0.5).alias("threshold")), ["run_id", "metric"], dims, rates=("exact_match",))
 
 
 def slice_cardinality_guard(spark: SparkSession, d: str) -> DataFrame:
@@ -236,6 +236,36 @@ def gate_evaluation(spark: SparkSession, d: str) -> DataFrame:
     return evaluate_gates(run.join(quality, "run_id", "left"), {"coverage": ("coverage", ">=", 0.98, True), "latency": ("p95", "<=", 5000.0, True), "quality": ("quality", ">=", 0.5, False)}, "run_id")
 
 
+RELEASE = {
+    "schema_version": "0.1", "name": "release", "artifacts": {"run_report": "run.json", "calibration": "calibration.json"},
+    "gates": [
+        {"name": "covered", "kind": "coverage", "severity": "blocking", "require_completed": False, "min_coverage": 0.2},
+        {"name": "harness", "kind": "harness_failure_rate", "severity": "blocking", "max_rate": 0.002},
+        {"name": "quality", "kind": "quality_floor", "severity": "blocking", "metric": "exact_match", "min_value": 0.55},
+        {"name": "fast", "kind": "latency", "severity": "informational", "max_p95_ms": 9000},
+        {"name": "cheap", "kind": "cost", "severity": "informational", "max_usd": 2000},
+        {"name": "judge", "kind": "calibrated_judge", "severity": "blocking", "min_agreement": 0.2},
+    ],
+}
+
+
+def release_gates(spark: SparkSession, d: str) -> DataFrame:
+    """A policy held against every run: priced by its tokens' time, with the share of generations that two raters score alike as the judge's agreement."""
+    from verdigrade.operators import gates
+
+    priced = F.coalesce(F.col("latency_ms") >= 0, F.lit(False)) & ~F.isnan("latency_ms")
+    g = v.gen(spark, d).groupBy("run_id").agg(
+        F.count_if(F.col("outcome").isin(*FAILED)).alias("harness_failures"), F.count(F.lit(1)).alias("planned_generations"), F.round(F.avg(F.when(F.col("metric") == "exact_match", F.col("metric_value"))), 9).alias("exact"),
+        F.coalesce(F.round(F.sum(F.when(priced, F.col("latency_ms"))) / 1000, 6), F.lit(0.0)).alias("cost_usd_total"), F.count_if(~F.coalesce(priced, F.lit(False))).alias("cost_unpriced_generations"),
+    )
+    rows = coverage_publishable(spark, d).select("run_id", "coverage").join(latency_by_run(spark, d).select("run_id", F.col("p95").alias("p95_ms")), "run_id").join(g, "run_id")
+    first = lambda df, key, name: df.where(F.col("score").isNotNull() & F.col("generation_id").isNotNull()).groupBy("generation_id").agg(F.min_by("score", key).alias(name))
+    agreed = first(v.judged(spark, d), "judgment_id", "a").join(first(v.resp(spark, d), "response_id", "b"), "generation_id").agg(F.avg((F.col("a") == F.col("b")).cast("double")).alias("holdout_agreement"))
+    rows = rows.crossJoin(F.broadcast(agreed)).withColumns({"run_status": F.lit("completed"), "coverage_floor": F.lit(0.98), "quality": F.create_map(F.lit("exact_match"), F.col("exact")), "gating_allowed": F.lit(True)})  # one row
+    _, policy, _ = gates.parse(RELEASE)
+    return gates.evaluate(rows, policy, "run_id").drop("reason")
+
+
 def deterministic_sample(spark: SparkSession, d: str) -> DataFrame:
     from verdigrade.operators.plan import seeded_sample
 
@@ -278,7 +308,7 @@ _LEFT = f"{_GC} SELECT case_id, r::INT AS repeat_idx FROM cases, range(0, 5) t(r
 ORACLE = {
     "pass_rate_overall": f"{_G}, s AS (SELECT run_id, metric, count(*) AS n, count(*) FILTER (passed) AS n_passed FROM gen WHERE passed IS NOT NULL GROUP BY 1, 2) SELECT *, n_passed / n::DOUBLE AS pass_rate, {_LOW} AS ci_low, {_HIGH} AS ci_high FROM s",
     "pass_rate_by_slice": f"{_GC}{_FAN}, s AS (SELECT metric, slice, count(passed) AS n, count(*) FILTER (passed) AS n_passed FROM f WHERE passed IS NOT NULL GROUP BY 1, 2) SELECT *, {_LOW} AS ci_low, {_HIGH} AS ci_high FROM s",
-    "slice_rollup_wilson": f"{_ROLL} SELECT run_id, metric, slice, n, value, {_LOW} AS ci_low, {_HIGH} AS ci_high, stddev FROM s",
+    "slice_rollup_wilson": f"{_ROLL} SELECT run_id, metric, slice, n, value, CASE WHEN metric <> 'exact_match' OR n > 0 THEN {_LOW} END AS ci_low, CASE WHEN metric <> 'exact_match' OR n > 0 THEN {_HIGH} END AS ci_high, CASE WHEN metric <> 'exact_match' THEN stddev END AS stddev FROM s",
     "slice_cardinality_guard": f"WITH {CASES_SQL} SELECT e.key AS dimension, count(DISTINCT e.value) AS n_values FROM (SELECT unnest(map_entries(slices)) AS e FROM cases UNION ALL SELECT {{'key': 'own', 'value': case_id}} FROM cases) GROUP BY 1 HAVING count(DISTINCT e.value) <= 50",
     "coverage_publishable": f"{_GC}, {_COVER} SELECT * FROM cover",
     "planned_vs_written": f"SELECT repeat_idx, count(*) AS n_missing FROM ({_LEFT}) GROUP BY 1",
@@ -308,6 +338,13 @@ ORACLE = {
     "failure_gallery": f"{_G}, r AS (SELECT run_id, case_id, repeat_idx, example_id, outcome, row_number() OVER (PARTITION BY run_id ORDER BY case_id NULLS FIRST, repeat_idx, example_id)::INT AS place FROM gen WHERE passed = false OR outcome LIKE 'harness\\_%' ESCAPE '\\') SELECT * FROM r WHERE place <= 8 ORDER BY run_id, place LIMIT 24",
     "gate_evaluation": f"{_GC}, {_COVER}, r AS (SELECT c.run_id, c.coverage, l.p95, q.quality FROM cover c JOIN (SELECT run_id, {_LAT} GROUP BY 1) l USING (run_id) LEFT JOIN (SELECT run_id, avg(metric_value) AS quality FROM gen WHERE metric = 'exact_match' GROUP BY 1) q USING (run_id))\n"
     "SELECT run_id, 'coverage' AS gate, coverage AS measured, coalesce(coverage >= 0.98, false) AS passed, true AS blocking FROM r UNION ALL SELECT run_id, 'latency', p95, coalesce(p95 <= 5000, false), true FROM r UNION ALL SELECT run_id, 'quality', quality, coalesce(quality >= 0.5, false), false FROM r",
+    "release_gates": f"""{_GC}, {_COVER}, g AS (SELECT run_id, count(*) FILTER (outcome IN ('harness_error', 'harness_timeout')) / count(*)::DOUBLE AS failing, round(avg(metric_value) FILTER (metric = 'exact_match'), 9) AS exact,
+ round(coalesce(sum(latency_ms) FILTER (latency_ms >= 0 AND NOT isnan(latency_ms)), 0) / 1000, 6) AS usd, count(*) FILTER (latency_ms IS NULL OR isnan(latency_ms) OR latency_ms < 0) AS unpriced FROM gen GROUP BY 1),
+ {JUDGE_SQL}, {RESP_SQL}, agreed AS (SELECT avg((x.a = y.b)::INT) AS share FROM (SELECT generation_id, arg_min(score, judgment_id) AS a FROM judged WHERE generation_id IS NOT NULL AND score IS NOT NULL GROUP BY 1) x JOIN (SELECT generation_id, arg_min(score, response_id) AS b FROM resp WHERE generation_id IS NOT NULL AND score IS NOT NULL GROUP BY 1) y USING (generation_id)),
+ r AS (SELECT run_id, cover.coverage, l.p95, g.*, share FROM cover JOIN (SELECT run_id, {_LAT} GROUP BY 1) l USING (run_id) JOIN g USING (run_id), agreed),
+ u AS (SELECT run_id, unnest([{{'gate': 'covered', 'kind': 'coverage', 'severity': 'blocking', 'passed': coverage >= 0.2}}, {{'gate': 'harness', 'kind': 'harness_failure_rate', 'severity': 'blocking', 'passed': failing <= 0.002}}, {{'gate': 'quality', 'kind': 'quality_floor', 'severity': 'blocking', 'passed': coalesce(exact >= 0.55, false)}},
+  {{'gate': 'fast', 'kind': 'latency', 'severity': 'informational', 'passed': p95 <= 9000}}, {{'gate': 'cheap', 'kind': 'cost', 'severity': 'informational', 'passed': unpriced = 0 AND usd <= 2000}}, {{'gate': 'judge', 'kind': 'calibrated_judge', 'severity': 'blocking', 'passed': share >= 0.2}}]) AS x FROM r)
+SELECT run_id, x.gate AS gate, x.kind AS kind, x.severity AS severity, x.passed AS passed, NOT x.passed AND x.severity = 'blocking' AS blocking_failure FROM u""",
     "deterministic_sample": f"WITH {CASES_SQL}, r AS (SELECT case_id, task_type FROM cases ORDER BY sha256('7:' || case_id), case_id LIMIT 50) SELECT * FROM r",
     "first_writer_wins": "WITH o AS (SELECT example_id, arg_min(outcome, loaded_at) AS outcome, min(loaded_at) AS l FROM qa_baseline GROUP BY 1) SELECT outcome, count(*) AS n FROM o GROUP BY 1",
     "last_writer_wins": "WITH o AS (SELECT case_id, arg_max(task_type, loaded_at) AS task_type, arg_max_null(deleted_at, loaded_at) AS deleted_at FROM eval_cases GROUP BY 1) SELECT task_type, count(*) AS n, count(deleted_at) AS n_deleted FROM o GROUP BY 1",

@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MOCK_TOTAL_MS, MOCK_FIRST_MS, MOCK_PROMPT_TOKENS = 5.0, 1.0, 12
@@ -137,6 +137,26 @@ def call_model(endpoint: Endpoint, prompt: str) -> dict:
         return read_stream(answer, endpoint.style)
 
 
+def cacheable(endpoint: Endpoint) -> bool:
+    """Only answers at temperature 0, which is the default, may stand for later ones."""
+    return float(endpoint.params.get("temperature", 0.0)) == 0.0
+
+
+def cache_key(endpoint: Endpoint, prompt: Column) -> Column:
+    """Digest of what an answer depends on: model, place, way of asking, parameters and prompt."""
+    fixed = json.dumps({"decode": dict(endpoint.params), "model": endpoint.model, "style": endpoint.style, "url": endpoint.url}, sort_keys=True, separators=(",", ":"))
+    return F.sha2(F.concat(F.lit(fixed + "\n"), F.coalesce(prompt, F.lit(""))), 256)
+
+
+def retry_after(headers: object) -> float | None:
+    """Seconds that an answer asks to wait, if it says so in seconds."""
+    value = headers.get("Retry-After") if headers is not None else None
+    try:
+        return max(0.0, float(value)) if value is not None else None
+    except ValueError:
+        return None
+
+
 ANSWER_DDL = "output string, outcome string, finish_reason string, prompt_tokens int, completion_tokens int, attempts int, total_ms double, attempt_log string"
 
 
@@ -170,6 +190,15 @@ def _attempts(endpoint: Endpoint, prompt: str, bucket: TokenBucket, breaker: Cir
             reason = got.get("finish_reason")
             kind = "empty_output" if not (got["output"] or "").strip() else "truncated" if reason == "length" else "content_filtered" if reason == "content_filter" else "passed"
             return {"output": got["output"], "outcome": kind, "finish_reason": reason, "prompt_tokens": got.get("prompt_tokens"), "completion_tokens": got.get("completion_tokens"), "attempts": attempt + 1, "total_ms": (time.monotonic() - began) * 1000, "attempt_log": json.dumps(log)}
+        except urllib.error.HTTPError as e:  # other 4xx mean the same however often they are asked
+            outcome, wait = "harness_error", retry_after(e.headers)
+            log.append({"error": f"http {e.code}"})
+            if e.code < 500 and e.code not in (408, 429):
+                break
+            breaker.record(False)
+            if attempt + 1 < endpoint.attempts:
+                time.sleep(backoff(attempt) if wait is None else wait)
+            continue
         except TimeoutError:
             outcome = "harness_timeout"
             log.append({"error": "timeout"})
