@@ -205,6 +205,11 @@ def connected_components(spark: SparkSession, d: str) -> DataFrame:
     return graph.component_sizes(graph.components(nodes, e))
 
 
+def node_degrees(spark: SparkSession, d: str) -> DataFrame:
+    e = pairwise_swap_resolution(spark, d).where("preference <> 'tie'").select(F.col("model_a").alias("a"), F.col("model_b").alias("b")).distinct()
+    return graph.degrees(v.judged(spark, d).select(F.col("judge_model").alias("node")).distinct(), e)
+
+
 # Retrieval: vectors whose id is divisible by 20 against all; those of the same label are relevant, with gain 1 to 3.
 
 
@@ -414,6 +419,7 @@ SELECT n::BIGINT AS n, h / n AS accuracy, ba AS balanced_accuracy, mf AS macro_f
     "position_bias": f"{_DUEL} SELECT count(*) AS n_decided, avg((shown = 'A')::INT) AS first_share FROM duel WHERE shown <> 'tie'",
     "swap_consistency": f"{_DUEL} SELECT count(*) AS n_pairs, 1.0::DOUBLE AS consistency FROM res",
     "connected_components": f"{_DUEL}, e AS (SELECT model_a AS a, model_b AS b FROM res WHERE preference <> 'tie' UNION SELECT model_b, model_a FROM res WHERE preference <> 'tie'), h AS (WITH RECURSIVE w AS (SELECT DISTINCT judge_model AS x, judge_model AS y FROM judged UNION SELECT w.x, e.b FROM w JOIN e ON w.y = e.a) SELECT x, min(y) AS component FROM w GROUP BY 1) SELECT component, count(*) AS size FROM h GROUP BY 1",
+    "node_degrees": f"{_DUEL}, e AS (SELECT model_a AS a, model_b AS b FROM res WHERE preference <> 'tie' UNION SELECT model_b, model_a FROM res WHERE preference <> 'tie') SELECT n.m AS node, count(DISTINCT e.b) AS degree FROM (SELECT DISTINCT judge_model AS m FROM judged) n LEFT JOIN e ON e.a = n.m AND e.a <> e.b GROUP BY 1",
     "nearest_neighbours": f"{_NEAR} SELECT query_id, vec_id, round(cosine, 9) AS cosine, place FROM k",
     "ndcg_at_10": f"{_NEAR}, i AS (SELECT query_id, (2 ** gain - 1) / log2(1 + row_number() OVER (PARTITION BY query_id ORDER BY gain DESC)) AS g, row_number() OVER (PARTITION BY query_id ORDER BY gain DESC) AS r FROM (SELECT query_id, 1 + vec_id % 3 AS gain FROM n WHERE ql = label)), b AS (SELECT query_id, sum(g) AS best FROM i WHERE r <= 10 GROUP BY 1) SELECT query_id, round(coalesce(sum((2 ** gain - 1) / log2(place + 1)) FILTER (hit AND place <= 10), 0) / max(best), 9) AS value FROM x JOIN b USING (query_id) GROUP BY 1",
     "precision_at_k": f"{_NEAR} SELECT query_id, round(count(*) FILTER (hit AND place <= 10) / 10.0, 9) AS value FROM x GROUP BY 1",
