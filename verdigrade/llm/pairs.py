@@ -309,9 +309,21 @@ DECLINES = (
     (r"", r"(?:无法|不能|不便|不可以|拒绝|無法)", r"(?:回答|帮助|提供|协助|讨论|答复|满足|幫助|拒绝)"),
     (r"", r"(?:수 없|드릴 수 없|어렵습니다|거절)", r"(?:답변|대답|도움|도와|제공|응답|거절)"),
 )
-#: Stems of which each of those clauses holds one, in small letters.
-_STEMS = ("nicht", "kein", "stande", "niet", "geen", "weigeren", "inte", "ingen", "avst", "avb", "nie mo", "nie jest", "nie wolno", "nie b", "musz", "odmawiam", "non ", "devo ", "rifiut", "nao ", "tenho que", "recuso", "nemoh", "nu ", "refuz", "yard", "cevap")
-_STEMS_BEYOND = (*_STEMS, "не ", "вынужд", "должн", "отказываюсь", "não ", "nemů", "nesm", "musím", "yanıt", "できません", "かねます", "お断り", "控え", "无法", "不能", "不便", "不可以", "拒绝", "無法", "수 없", "어렵", "거절")
+#: Of those clauses each holds one of these words, or, where words aren't spaced or carry endings, of these parts.
+_WORDS_OF_NO = frozenset(
+    "nicht kein keine keinen keiner außerstande ausserstande stande niet geen weigeren inte ingen avstå avsta avstår avstar avböja avboja nie muszę musze odmawiam non devo rifiuto não nao tenho recuso "
+    "nemohu nemůžeme nemuzeme nesmím nesmim musím musim nu trebuie не вынужден вынуждена вынуждены должен должна должны отказываюсь".split()
+)
+_PARTS_OF_NO = ("amiyorum", "emiyorum", "amayiz", "olamam", "veremem")
+_PARTS_BEYOND = ("ıyorum", "iyorum", "amam", "emem", "amayız", "できません", "かねます", "お断り", "控え", "无法", "不能", "不便", "不可以", "拒绝", "無法", "수 없", "어렵", "거절")
+_PUNCTUATED = str.maketrans(dict.fromkeys(".,;:!?()\"'’", " "))
+
+
+def _holds_no(answer: str) -> bool:
+    small = answer.lower()
+    return not _WORDS_OF_NO.isdisjoint(small.translate(_PUNCTUATED).split()) or any(x in small for x in (_PARTS_OF_NO if answer.isascii() else _PARTS_BEYOND))
+
+
 # Words with which a clause goes on to tell something after all.
 _AFTER_ALL = re.compile(r"[,，、]?\s*(?:\b(?:aber|jedoch|sondern|maar|men|ale|но|однако|ma|però|mas|porém|však|dar|insă|însă|ama|fakat)\b|ですが|但是?|하지만)\s*")
 _DECLINES = tuple(tuple(re.compile(x) for x in row) for row in DECLINES)
@@ -334,8 +346,7 @@ def is_refusal(answer: str) -> bool:
     What follows a clause that declines must not go on to answer ("I can't find a lower one, so 7 is least").
     A line's end ends a clause unless the sentence runs on: a small letter follows, or a word precedes after which none ends.
     """
-    hint, small = _HINT.search(answer), answer.lower()
-    elsewhere = any(x in small for x in (_STEMS if answer.isascii() else _STEMS_BEYOND))
+    hint, elsewhere = _HINT.search(answer), _holds_no(answer)
     if not hint and not elsewhere:
         return False
     body = _ANSWER_LABEL.sub("", answer, count=1).replace("’", "'").strip()
@@ -694,7 +705,7 @@ def judge(question: str | None, answer: str | None) -> tuple[str | None, tuple[s
         return "refusal", None
     text = answer.rstrip()
     end = text.rstrip("*_ ")
-    if unfinished_structure(text) or _BREAKS.search(end):
+    if unfinished_structure(text) or _BREAKS.search(end[-16:]):  # what it looks for is shorter
         return "truncated", None
     last = tail(text)
     if last and last[1] == OPEN:
