@@ -227,7 +227,7 @@ def judge_pairwise(pairs: DataFrame, responses: DataFrame) -> dict:
     """Win rates, position bias and consistency of pairs judged in both orders; no win rates if the models' graph falls apart."""
     both = pairs.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("swap"))
     r = responses.select("case_id", "swap", pairwise_output(F.col("response")).alias("shown"))
-    items = judging.require_total(both.join(r, ["case_id", "swap"], "left"), "shown", "a judge's preference").withColumn("preference", judging.original_preference(F.col("shown"), F.col("swap"))).cache()
+    items = materialize(judging.require_total(both.join(r, ["case_id", "swap"], "left"), "shown", "a judge's preference").withColumn("preference", judging.original_preference(F.col("shown"), F.col("swap"))), "judged-pairs")
     nodes = items.select(F.explode(F.array("model_a", "model_b")).alias("node")).distinct()
     edges = items.where("preference <> 'tie'").select(F.col("model_a").alias("a"), F.col("model_b").alias("b"))
     parts = [r["size"] for r in graph.component_sizes(graph.components(nodes, edges)).orderBy(F.desc("size")).collect()]
