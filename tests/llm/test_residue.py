@@ -113,3 +113,13 @@ def test_unclosed_marks_take_no_time():
     for opening in ("{{ a", "{% a ", "<% a", "[insert a ", "<your ", "[[a ", "<<a ", "@@a ", "{{ {a}", "__A"):
         list(rs.slots(opening * 2_000))
     assert time.perf_counter() - start < 20
+
+
+def test_pages_are_read_to_their_end(spark):
+    """Messages behind any number of lines that no label fits count as those before them."""
+    own = "\n".join(f"Our {w} keeps the lights on at night." for w in ("cook", "baker", "smith", "miller", "tailor"))
+    said = "404 Not Found\nThe page was not found.\nPlease try again later.\nSomething went wrong.\nThe server is down.\nAccess denied."
+    assert rs.page(f"{own}\n{said}")[0] == "error" and len(rs.page(f"{own}\n{said}")[1]) == 5
+    assert rs.page(f"{own}\n{own}\n{said}") == (None, None)
+    rows = [(i, f"{own}\n{said}\nReference number: run-{i}") for i in range(3)]
+    assert {r.doc_id for r in rs.residue(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {0, 1, 2}

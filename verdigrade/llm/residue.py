@@ -113,7 +113,10 @@ _WEAK = re.compile("|".join(f"(?:{p})" for p in WEAK))
 _MARKERS = re.compile(r"[{$]|<[%<=\s-]*[A-Za-z]|%[(A-Za-z_]|@@|\[\s*[\[A-Za-z]|__|XX|TB|TODO|FIXME")
 _VARIABLE = re.compile(r"\b[\w-]*\d[\w.-]*\b")
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>")
-_SPLIT = re.compile(r"\n+|(?<=[.!?…])\s+|(?<=[。！？])\s*|\s[-–—|•·]\s|^\s*[-*•]\s+", re.M)
+#: The same splits twice: the second begins with a set of signs, which is searched faster, and is for texts without 。！？.
+_SPLIT_ANY = re.compile(r"\n+|(?<=[.!?…])\s+|(?<=[。！？])\s*|\s[-–—|•·]\s|^\s*[-*•]\s+", re.M)
+_SPLIT = re.compile(r"[\s*•-](?:(?<=\n)\n*|(?<=[.!?…]\s)\s*|(?<=\s)[-–—|•·]\s|(?<=^\s)\s*[-*•]\s+|(?<=^[-*•])\s+)", re.M)
+_WIDE_END = re.compile("[。！？]")
 _END = r"(?=$|[\s.,:;!?…|)\]。！？、-])"
 _KINDS = ("notice", "error", "filler", "furniture")
 _BY_WORD: dict[str, list[int]] = {}
@@ -121,6 +124,7 @@ for _i, (_, _words, _pattern) in enumerate(LABELS):
     for _w in _words.split():
         _BY_WORD.setdefault(_w, []).append(_i)
 _ANYWHERE = tuple(i for i, x in enumerate(LABELS) if not x[1])
+_TELLING = frozenset(_BY_WORD) | LATIN_MARKS
 
 
 @lru_cache(10_000)
@@ -130,12 +134,12 @@ def _label(kind: str, which: frozenset[int]) -> re.Pattern | None:
     return re.compile("|".join(f"(?:(?<!\\w){p}{_END})" for p in patterns), re.I) if patterns else None
 
 
-_WORDS = re.compile(r"[^\W\d_]+")
+_WORDS, _ASCII_WORDS = re.compile(r"[^\W\d_]+"), re.compile("[A-Za-z]+")
 _STATUS = re.compile(r"(?<![\w.-])(?:40[013458]|410|429|50[0-4])(?![\w.-])")
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 _LABEL_END = frozenset(":：=|>-–—")
-#: Words of a title that isn't on a line of its own, and of a menu's entry; a page's unknown segments are never more than so many ahead of its labelled ones.
-TITLE_WORDS, MENU_WORDS, AHEAD = 6, 2, 3
+#: Words of a title that isn't on a line of its own, and of a menu's entry.
+TITLE_WORDS, MENU_WORDS = 6, 2
 _MARGIN = " \t\r#>*_-|"
 _ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "qwertzuiop", "yxcvbnm", "azertyuiop")
 
@@ -216,12 +220,20 @@ def _mashed(low: list[str]) -> bool:
         return False
     if len(low) >= 3 and len(set(low)) <= len(low) * 0.6 and max(low.count(w) for w in set(low)) >= max(2, len(low) // 2):
         return True
-    return sum(map(_typed, low)) * 2 >= len(low)
+    return sum(map(_TYPED.__getitem__, low)) * 2 >= len(low)
 
 
-@lru_cache(100_000)
-def _typed(word: str) -> bool:
-    return len(word) > 2 and (len(set(word)) == 1 or any(word in r or word in r[::-1] for r in _ROWS))
+class _Typed(dict):
+    """word -> whether it is one letter or a run along the keyboard; emptied when it has grown large."""
+
+    def __missing__(self, word: str) -> bool:
+        if len(self) > 100_000:
+            self.clear()
+        t = self[word] = len(word) > 2 and (len(set(word)) == 1 or any(word in r or word in r[::-1] for r in _ROWS))
+        return t
+
+
+_TYPED = _Typed()
 
 
 def latin_share(low: list[str]) -> float:
@@ -231,14 +243,16 @@ def latin_share(low: list[str]) -> float:
 
 def segment_kind(segment: str) -> str:
     """filler, notice, error, furniture or text; a message counts if next to nothing is said beside it."""
-    words = _WORDS.findall(segment)
+    ascii = segment.isascii()
+    words = _ASCII_WORDS.findall(segment) if ascii else _WORDS.findall(segment)
     if not words:
         return "furniture"
     low = [w.casefold() for w in words]
-    if latin_share(low) >= 0.8 or _mashed(low):
+    plain = _TELLING.isdisjoint(low)
+    if not plain and latin_share(low) >= 0.8 or _mashed(low):
         return "filler"
-    which = {i for w in low for i in _BY_WORD.get(w, ())}
-    if not segment.isascii():
+    which = set() if plain else {i for w in low for i in _BY_WORD.get(w, ())}
+    if not ascii:
         which.update(_ANYWHERE)
     if which:
         rest, kinds, key = segment, [], frozenset(which)
@@ -257,7 +271,7 @@ def segments(body: str) -> Iterator[tuple[str, bool]]:
     """The sentences and lines of a text without code, and whether a line break follows."""
     body = body.replace("␀", " ")
     body, at = _TAG.sub(" ", body) if "<" in body else body, 0
-    for m in _SPLIT.finditer(body):
+    for m in (_SPLIT_ANY if not body.isascii() and _WIDE_END.search(body) else _SPLIT).finditer(body):
         s = body[at : m.start()].strip(_MARGIN)
         if s:
             yield s, "\n" in m.group()
@@ -277,7 +291,7 @@ def page(body: str) -> tuple[str | None, list[str] | None]:
 
     unknown: aligned forms (variable words blanked) of the segments that no label fits; if there are any,
     kind is what the labelled ones are, and whether the text is a page of it rests on the unknown ones. None:
-    the unknown segments run ahead of the labelled ones; only as a repeated page can this be one.
+    the unknown segments are more than the labelled ones; only as a repeated page can this be one.
     """
     _, kind, unknown, _ = lead_and_page(body)
     return kind, unknown
@@ -290,22 +304,21 @@ def aligned(text: str) -> str:
 
 def lead_and_page(body: str) -> tuple[str | None, str | None, list[str] | None, int]:
     """What the text leads with ('error', 'notice' or 'filler' if a labelled message comes first, '404' if a title gives a status), its page, and how many segments are labelled."""
-    lead, kind, unknown, known, n = None, None, [], 0, 0
-    for s, own_line in segments(body):
+    lead, kind, unknown, known = None, None, [], 0
+    parts = list(segments(body))
+    for n, (s, own_line) in enumerate(parts):
         k = segment_kind(s)
         if k == "text":
             if is_title(s, own_line, not n, body):
-                n += 1
                 status = _STATUS.search(s)
                 lead = status and status.group()
                 continue
             unknown.append(s)
-            if len(unknown) > known + AHEAD:
+            if len(unknown) > known + len(parts) - n - 1:  # whatever the rest says, more are unknown
                 return lead, None, None, known
         elif k != "furniture":
             kind, known = kind or k, known + 1
             lead = lead or (None if unknown else k)
-        n += 1
     return lead, kind, list(dict.fromkeys(map(aligned, unknown))), known
 
 
